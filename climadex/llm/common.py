@@ -107,3 +107,45 @@ def bucket_of(column, bounds: list[int]):
 
 def long_field(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
+
+
+def sum_vectors(parts: DataFrame, length: int, *, kind: str = "<f8"):
+    """Sum over tasks of a vector of fixed length, sent in blocks (block int, data binary).
+
+    Blocks are added as a stream, one in memory at a time; the driver gets one row per block,
+    ``length`` numbers in all.
+    """
+    import numpy as np
+
+    def add(batches):
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
+
+        now, total = None, None
+        for batch in batches:
+            for b, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                if b != now:
+                    if now is not None:
+                        yield row()
+                    now, total = b, np.zeros(len(data) // np.dtype(kind).itemsize, kind)
+                total += np.frombuffer(data, kind)
+        if now is not None:
+            yield row()
+
+    n = partitions(parts.sparkSession)
+    got = parts.repartition(n, "block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary").collect()
+    out = np.zeros(length, kind)
+    for r in got:
+        data = np.frombuffer(r["data"], kind)
+        out[r["block"] * BLOCK : r["block"] * BLOCK + data.size] = data
+    return out
+
+
+#: Numbers in a block of ``sum_vectors``.
+BLOCK = 1 << 14
+
+
+def vector_blocks(vector) -> pa.RecordBatch:
+    """The blocks of a task's vector that are not all zero."""
+    rows = [(i // BLOCK, vector[i : i + BLOCK].tobytes()) for i in range(0, vector.size, BLOCK) if vector[i : i + BLOCK].any()]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "data"])
