@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, simhash, token_counts, token_files
+from . import decontam, edit_embedding, langid, line_dedup, packing, secret_scan, simhash, token_counts, token_files, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edit_embedding.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
@@ -31,12 +36,48 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, seed=42, radius=4)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return out.select(
+        "doc_id",
+        number("assign").alias("n_assign"),
+        number("access").alias("n_access"),
+        number("hex").alias("n_hex"),
+        F.sha2(F.encode(joined(F.filter("spans", lambda s: s["kind"] != "cnn")), "UTF-8"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_edit_embedding": op2_edit_embedding,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
+    "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL = {
