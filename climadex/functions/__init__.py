@@ -1,0 +1 @@
+"""Scalar expressions, all of them built-in Spark functions."""

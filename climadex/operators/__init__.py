@@ -1,0 +1 @@
+"""Keyed operators: DataFrame in, DataFrame out, nothing runs inside."""

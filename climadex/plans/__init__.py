@@ -1,0 +1 @@
+"""Compositions: components, the index, plot-ready frames, the test-data cube."""

@@ -1,0 +1 @@
+"""Structured Streaming: the daily reduction of an hourly stream."""
