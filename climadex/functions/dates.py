@@ -54,7 +54,7 @@ def label_date(label: Column) -> Column:
 
 def label_granularity(label: Column) -> Column:
     return (
-        F.when(label.rlike(r"^\d{4}$"), "Annual").when(label.rlike(r"^\d{4}-S"), "Semester").when(label.rlike("(DJF|MAM|JJA|SON)$"), "Seasonal").otherwise("Monthly")
+        F.when(label.rlike(r"^\d{4}$"), "Annual").when(label.rlike(r"^\d{4}-S[12]$"), "Semester").when(label.rlike("(DJF|MAM|JJA|SON)$"), "Seasonal").otherwise("Monthly")
     )
 
 
