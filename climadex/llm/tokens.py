@@ -125,3 +125,4 @@ class PieceCounter:
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             self.cache.update(zip(some, map(len, self.model.encode(some, num_threads=1))))
+        self.cache[""] = 1  # the one blank that ends a text
