@@ -120,7 +120,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.raw(self.votes(text))))))
 
 
-def label_model(fires: np.ndarray, prior: float, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def label_model(fires: np.ndarray, prior: float, start: np.ndarray, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the label, and each voter's share after correlations.
 
     ``fires`` is (documents, voters) of 0 and 1; ``start`` the first guess of the posterior.
@@ -130,7 +130,7 @@ def label_model(fires: np.ndarray, prior: float, start: np.ndarray, rounds: int
         n1, n0 = post.sum(), (1 - post).sum()
         a = np.clip((post @ fires + 0.1) / (n1 + 1), 1e-4, 0.9999)
         b = np.clip(((1 - post) @ fires + 0.1) / (n0 + 1), 1e-4, 0.9999)
-        if r % 10 == 9:
+        if r % 5 == 4:
             # Votes that still go together given the label count once between them.
             rest = fires - post[:, None] * a - (1 - post)[:, None] * b
             cov = rest.T @ rest
