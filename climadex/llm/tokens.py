@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Entries of a worker's cache; it starts afresh beyond that (results do not change).
 CACHE_ENTRIES = 600_000
@@ -34,18 +34,28 @@ def piece_counter(path: str) -> PieceCounter:
     return _made["piece", path]
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordBpe:
     """Ids of a lower-casing word BPE (``tokenizers``), as little-endian unsigned 16-bit bytes.
 
     Its pre-tokens never cross white space and white space yields no ids, so a text's ids are
     those of its parts between blanks and line feeds.  Each distinct part is encoded once by
     the library and kept.  In Latin-1 texts, whose characters NFC leaves as they are, case
-    folding and cutting a final comma or full stop off a letter make more parts equal; both
-    are what the library's normaliser and pre-tokeniser do themselves.
+    folding and cutting final marks off a letter make more parts equal; both are what the
+    library's normaliser and pre-tokeniser do themselves.  A part that is then one run of
+    letters is one pre-token, which the library's model takes without those two steps.
     """
 
-    #: A comma or full stop between a letter and a blank is a pre-token by itself.
-    _stop = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([,.])(?= |$)")
+    #: Marks between a letter and a blank are a pre-token by themselves.
+    _stop = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([!-/:-@\[-`{-~]+)(?= |$)")
+    #: Bytes that the byte-level alphabet shows as another character than their own.
+    _shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -68,11 +78,17 @@ class WordBpe:
         return self._stop.sub(r" \1", text.lower()).split(" ")
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
+        out, rest, model = {}, [], self.tokenizer.model.tokenize
+        for w in words:
+            if w.isalpha() and max(w) < "\u0100" and w == w.lower():
+                seen = w if w.isascii() else w.encode().decode("latin-1").translate(self._shown)
+                out[w] = _packed([t.id for t in model(seen)])
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
             for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                out[w] = np.array(e.ids, "<u2").tobytes()
+                out[w] = _packed(e.ids)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
