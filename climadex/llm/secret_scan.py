@@ -192,10 +192,11 @@ def made_up(rng: np.random.Generator, words: list[str]) -> list[tuple[str, int,
     return out
 
 
-def train(docs: DataFrame, *, train_docs: int = 4000, recall: float = 0.98) -> CharCnn:
+def train(docs: DataFrame, *, train_docs: int = 4000, train_windows: int = 16_000, recall: float = 0.98) -> CharCnn:
     """Fit on at most ``train_docs`` documents with rule findings and as many without.
 
-    They are those of smallest hash of doc_id; at most 20 windows of each are taken.
+    They are those of smallest hash of doc_id; at most 20 windows of each are taken, and
+    ``train_windows`` of those and of the made-up secrets are used.
     """
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     # The rules' own words tell in the JVM which documents may have findings.
@@ -226,7 +227,7 @@ def train(docs: DataFrame, *, train_docs: int = 4000, recall: float = 0.98) -> C
     x = [np.frombuffer(r["x"], np.uint8) for r in rows] + [window(t, a, b) for t, a, b in extra]
     y = np.array([r["y"] for r in rows] + [1] * len(extra), float)
     x = np.stack(x)
-    order = np.random.default_rng(SEED + 2).permutation(len(x))[:16_000]
+    order = np.random.default_rng(SEED + 2).permutation(len(x))[:train_windows]
     x, y = x[order], y[order]
     aside = np.arange(len(x)) % 5 == 4
     net = CharCnn.fresh()
