@@ -29,7 +29,7 @@ def partitions(spark: SparkSession) -> int:
 def _own_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.climadex"
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/climadex-stored"
     return f"{base.rstrip('/')}/climadex-{spark.sparkContext.applicationId}"
 
 
