@@ -174,6 +174,14 @@ def test_lcs_by_bits():
         assert decontam.lcs_length(a, b) == t[-1, -1]
 
 
+def test_half_of_an_item_with_four_fifths_of_its_answer_is_a_leak(spark):
+    item = [f"w{i}" for i in range(40)]
+    kept = [*item[:12], *item[30:38]]  # 20 of 40 words, 8 of the 10 of the answer
+    docs = spark.createDataFrame([(1, " ".join(kept)), (2, " ".join(item[:30])), (3, " ".join(kept[1:]))], "doc_id long, text string")
+    got = decontam.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), cosine=-1.0).collect()
+    assert sorted((r["doc_id"], r["similarity"]) for r in got) == [(1, 0.5), (2, 0.75)]
+
+
 def secret_docs():
     rng = random.Random(6)
     hexes = "0123456789abcdef"
