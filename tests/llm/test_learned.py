@@ -182,6 +182,46 @@ def test_half_of_an_item_with_four_fifths_of_its_answer_is_a_leak(spark):
     assert sorted((r["doc_id"], r["similarity"]) for r in got) == [(1, 0.5), (2, 0.75)]
 
 
+def test_leaks_of_all_windows_are_found(spark):
+    rng = random.Random(12)
+    common = brute.prose(rng, 40).split()
+    sizes = [6, 7, 8, 9, 10, 12, 13, 16, 20, 24, 27, 33, 48, 59, 90]
+    items = [[rng.choice(common) if rng.random() < 0.5 else f"rare{k}x{i}" for i in range(n)] for k, n in enumerate(sizes)]
+    docs, verbatim = [], set()
+    for k, item in enumerate(items):
+        n = len(item)
+        rare = [w if not w.startswith("rare") or i >= n - max(3, n // 4) else "swapped" for i, w in enumerate(item)]
+        half = [w if i % 10 < 4 or i >= n - max(3, n // 4) else "other" for i, w in enumerate(item)]
+        most = [w if i % 10 < 7 else "other" for i, w in enumerate(item)]
+        for j, words in enumerate((item, item, rare, half, most)):
+            pad = [[rng.choice(common) if rng.random() < 0.5 else f"pad{rng.randrange(10**9)}" for _ in range(rng.randint(60, 100))] for _ in range(2)]
+            docs.append((10 * k + j, [*pad[0], *words, *pad[1]]))
+            if j < 2:
+                verbatim.add((10 * k + j, k))
+    how = {"cover": 0.7, "answer_cover": 0.8}
+    checks = [decontam.Verifier(np.array([zlib.crc32(w.encode()) for w in x]), least=0.7 if len(x) <= decontam.BRIEF else 0.5, **how) for x in items]
+    want = {}
+    for d, words in docs:
+        h = [zlib.crc32(w.encode()) for w in words]
+        for k, item in enumerate(items):
+            width = decontam.span(len(item))
+            shares = [s for a in range(len(h)) if (s := checks[k].share(h[a : a + width])) is not None]
+            if shares:
+                want[d, k] = max(shares)
+    assert len(want) > 50 and verbatim <= set(want)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.leaks(d, b).collect()}
+    assert set(want) <= set(got) and all(got[x] >= want[x] for x in want)
+    # Without latent neighbours these are all, also of texts taken in pieces.
+    alone = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.leaks(d, b, cosine=2.0).collect()}
+    assert alone == want
+    index = decontam.WordIndex([np.arange(20, dtype=np.uint32)], [decontam.Verifier(np.arange(20), least=0.5, **how)], np.ones(decontam.FEATURES, np.float32))
+    far = np.full(decontam.PIECE + 500, 99, np.uint32)
+    far[decontam.PIECE - 7 : decontam.PIECE + 13] = np.arange(20)
+    assert max(index.best(i, far.tolist(), a, z)[0] for _, i, a, z in index.regions([far])) == 1
+
+
 def secret_docs():
     rng = random.Random(6)
     hexes = "0123456789abcdef"
