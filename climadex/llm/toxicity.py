@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters come from two places: fixed patterns, and a lexicon of words and word starts that
-are over-represented in toxic training documents (hashed counts first, then the exact
+are over-represented in toxic training documents, near copies counted once (hashed counts first, then the exact
 strings of the chosen hash buckets).  A generative label model is fitted to their votes
 without labels: expectation-maximisation estimates how often each voter fires on toxic and
 on clean documents, and voters whose votes stay correlated given the label share their
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod5, slices, sum_vectors, texts_of, vector_blocks
+from .common import crc32_mod5, slices, stored, sum_vectors, texts_of, vector_blocks
+from .simhash import near_duplicates
 
 _WORD = re.compile(r"\w+")
 #: Lengths of the word starts that may vote: stems of inflected insults.
@@ -182,6 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, voter
     known = known.where(crc32_mod5() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
 
+    # Copies and near copies of a text count once, or a large group of them would fill the
+    # lexicon with its words: one text for each class and label.
+    classes = near_duplicates(chosen).groupBy("doc_id").agg(F.min("component_id").alias("class"))
+    distinct = stored(chosen.join(F.broadcast(classes), "doc_id").groupBy("class", "toxic").agg(F.min("text").alias("text")), "distinct")
+
     def count(batches):
         # Toxic and clean document frequencies by bucket, then the two numbers of documents.
         total = np.zeros(2 * BUCKETS + 2, np.int32)
@@ -192,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, voter
                 total[2 * BUCKETS + (0 if y else 1)] += 1
         yield vector_blocks(total)
 
-    counts = sum_vectors(chosen.mapInArrow(count, "block int, data binary"), 2 * BUCKETS + 2, kind="<i4").astype(float)
+    counts = sum_vectors(distinct.mapInArrow(count, "block int, data binary"), 2 * BUCKETS + 2, kind="<i4").astype(float)
     n_toxic, n_clean = counts[-2:]
     if not n_toxic or not n_clean:
         return ToxicityModel()
@@ -214,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, voter
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[f][0] for f in names], pa.int64()), pa.array([seen[f][1] for f in names], pa.int64())], ["feature", "toxic", "clean"])
 
     # At most 3 * voters buckets, each with few features of that support.
-    found = chosen.mapInArrow(exact, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= least).collect()
+    found = distinct.mapInArrow(exact, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") >= least).collect()
     if not found:
         return ToxicityModel()
     t, c = (np.array([r[k] for r in found], float) for k in ("t", "c"))
@@ -240,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, voter
     model = ToxicityModel(lexicon=[model.lexicon[i] for i in _broad(x[y == 1, : len(model.lexicon)] > 0)])
     x, y = cast(model)
     fires = (x > 0).astype(float)
-    prior = min(0.9, max(0.01, n_toxic / (n_toxic + n_clean)))
+    prior = min(0.9, max(0.01, float(y.mean())))
     post, _ = label_model(fires, prior, np.clip(fires.sum(axis=1) / 2, 0.02, 0.98))
     w, b = _logistic(x, post)
     # The bias that labels the training rows best; in the middle of the gap if many do.

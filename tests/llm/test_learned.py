@@ -55,6 +55,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert again == {(r["doc_id"], r["score"]) for r in got}
 
 
+def test_copies_of_a_toxic_text_leave_room_for_insults(spark):
+    rng = random.Random(21)
+    long = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(200)]
+    texts = []
+    for i in range(110):
+        texts.append((" ".join(long) + (f" end{i}" if i % 2 else ""), 1))
+    for i in range(90):
+        words = brute.prose(rng, 60).split(" ")
+        words.insert(rng.randrange(60), ["vequaire", "zorbane", "plimteq"][i % 3])
+        texts.append((" ".join(words), 1))
+    texts += [(brute.prose(rng, 60), 0) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert {"vequaire", "zorbane", "plimteq"} <= set(model.lexicon) and not set(long) & set(model.lexicon)
+
+
 def test_toxicity_without_labels(spark):
     docs = brute.frame(spark, brute.rows())
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
