@@ -42,6 +42,11 @@ def _sampled(scale: int) -> np.ndarray:
     return np.sort(np.random.default_rng((SEED, scale, 1)).permutation(picks)[:SAMPLES])
 
 
+#: By scale: the first sample of the next scale beyond 2**scale, and what such a sample counts
+#: beside those of the scale itself.
+_REST = np.array([(np.searchsorted(_sampled(k + 1), 1 << k), 1 if 2 << k <= SAMPLES else 2) for k in range(48)])
+
+
 def _classes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     high = 128 + ((c * np.uint32(2654435761)) >> np.uint32(20)) % 127
@@ -101,13 +106,21 @@ def _alike(s: np.ndarray, x: np.ndarray, t: np.ndarray, y: np.ndarray) -> np.nda
     a = x[rows, np.where(d >= 0, 1, 0)]
     b = y[rows, np.where(d <= 0, 1, 0)]
     used = (a != 0) | (b != 0)
-    share = ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+    # Of neighbouring scales, the longer text goes on where the scale in common ends and the
+    # shorter one has ended: that rest, seen at the longer text's next scale, is unequal.
+    longer = np.where(d[:, None] >= 0, y[:, 1], x[:, 1])
+    cut, weight = _REST[np.maximum(s, t)].T
+    rest = np.where(d == 0, 0, ((longer != 0) & (np.arange(SAMPLES) >= cut[:, None])).sum(axis=1) * weight)
+    share = ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1) + rest, 1)
     same = (d == 0) & (x == y).all(axis=(1, 2))
     return np.where(same, 1.0, np.where(np.abs(d) <= 1, share, 0.0))
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal samples at the largest scale in common, 0 if there is none."""
+    """Share of equal samples at the largest scale in common, 0 if there is none.
+
+    What the longer text has beyond that scale counts as unequal.
+    """
     (s, x), (t, y) = from_text(a), from_text(b)
     return float(_alike(np.array([s]), x[None], np.array([t]), y[None])[0])
 

@@ -164,3 +164,16 @@ def test_edit_duplicates(spark):
     assert all(got[i] == i for i in range(30))
     known = edit_embedding.fingerprints(docs).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").count()
     assert known >= 2
+
+
+def test_an_appended_half_is_unequal(spark):
+    rng = random.Random(17)
+    for n in (100, 1000, 9000):
+        x = brute.prose(rng, n)[:n]
+        y = x + " " + brute.prose(rng, n)[: n + n // 25]
+        scales, samples = edit_embedding.embed([x, y])
+        a, b = (edit_embedding.to_text(int(k), v) for k, v in zip(scales, samples))
+        assert 0.35 < edit_embedding.likeness(a, b) == edit_embedding.likeness(b, a) < 0.65
+    docs = spark.createDataFrame([(1, x), (2, y), (3, x + " z")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in edit_embedding.edit_duplicates(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
