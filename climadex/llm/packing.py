@@ -17,6 +17,7 @@ tasks, and its rank tells its pattern, copy and slot.  Only a row per piece is s
 
 from __future__ import annotations
 
+import warnings
 import zlib
 
 import numpy as np
@@ -52,32 +53,85 @@ def _price(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[float,
     return float(value[capacity]), pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float = 2e-3, most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a column for each of the basis) and how often each is used, fractional."""
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Matrix times vector by numpy's own loops: a threaded BLAS beside a JVM can stall on matrices this small."""
+    return np.einsum("ij,j->i", matrix, vector, optimize=False)
+
+
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan with row pivots, without BLAS or LAPACK."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        p = i + int(np.abs(work[i:, i]).argmax())
+        if p != i:
+            work[[i, p]] = work[[p, i]]
+        work[i] /= work[i, i]
+        factors = work[:, i].copy()
+        factors[i] = 0
+        rows = np.flatnonzero(factors)
+        work[rows] -= factors[rows, None] * work[i]
+    return work[:, n:]
+
+
+def first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Patterns of a first-fit decreasing packing, one per group of equal sequences."""
+    left, out = demand.astype(np.int64).copy(), []
+    while left.any():
+        room, one = capacity, np.zeros(len(sizes), np.int64)
+        for i in np.flatnonzero(left)[::-1]:
+            if n := int(min(left[i], room // sizes[i])):
+                one[i] = n
+                room -= n * int(sizes[i])
+        used = one > 0
+        left -= int((left[used] // one[used]).min()) * one
+        out.append(one.astype(float))
+    return out
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, gap: float = 2e-3, most: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (a column for each of the basis) and how often each is used, fractional.
+
+    The basis starts with one size per pattern; the patterns of a first-fit packing enter
+    first, then those that the knapsack prices.  After ``most`` of these the plan so far is
+    used, which still holds every item, and a warning states the gap left.
+    """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
-    for step in range(most):
-        duals = np.maximum(inverse.sum(axis=0), 0)
-        worth, column = _price(sizes, duals, capacity)
-        # Farley: the optimum is at least sum(x) / worth, so at most this share (or one sequence) is to gain.
-        if 1 - 1 / worth <= max(gap, 1 / max(x.sum(), 1)):
-            break
-        towards = inverse @ column
+    x = _times(inverse, demand)
+    pivots = 0
+
+    def enter(column: np.ndarray) -> bool:
+        nonlocal inverse, x, pivots
+        towards = _times(inverse, column)
         up = towards > 1e-9
         if not up.any():
-            break
+            return False
         ratios = np.full(m, np.inf)
         ratios[up] = x[up] / towards[up]
         leaves = int(ratios.argmin())
         row = inverse[leaves] / towards[leaves]
-        inverse -= np.outer(towards, row)
+        inverse -= towards[:, None] * row
         inverse[leaves] = row
         basis[:, leaves] = column
-        if step % 100 == 99:  # keep rounding errors from growing
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand, 0)
+        pivots += 1
+        if pivots % 200 == 0:  # keep rounding errors from growing
+            inverse = _inverted(basis)
+        x = np.maximum(_times(inverse, demand), 0)
+        return True
+
+    for column in first_fit(sizes, demand, capacity):
+        if (inverse.sum(axis=0) * column).sum() > 1 + 1e-9:
+            enter(column)
+    for _ in range(most):
+        duals = np.maximum(inverse.sum(axis=0), 0)
+        worth, column = _price(sizes, duals, capacity)
+        # Farley: the optimum is at least sum(x) / worth, so at most this share (or one sequence) is to gain.
+        if 1 - 1 / worth <= max(gap, 1 / max(x.sum(), 1)) or not enter(column):
+            break
+    else:
+        warnings.warn(f"column generation stopped after {most} patterns, at most {1 - 1 / worth:.4f} of the sequences above the optimum", stacklevel=2)
     return basis, x
 
 
