@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, doc_buckets, partitions, slices, stored, texts_of
+from .common import bucket_of, doc_buckets, partitions, ranges, slices, stored, texts_of
 from .components import connected_components
 
 SAMPLES = 256
@@ -155,7 +155,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     low = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("ord", F.coalesce("doc_id", F.lit(low)))
-    bounds = doc_buckets(rows, partitions(spark), "ord")
+    bounds = doc_buckets(rows, ranges(docs), "ord")
     rows = rows.withColumn("bucket", bucket_of(F.col("ord"), bounds).cast("int"))
     firsts = sorted((r["bucket"], r["ord"]) for r in rows.groupBy("bucket").agg(F.min("ord").alias("ord")).collect())  # a row per range
     guards = [(ord_, firsts[i - 1][0]) for i, (_, ord_) in enumerate(firsts)]

@@ -15,10 +15,11 @@ Three scans of the text, none of which shuffles a line:
    ``broadcast_keys`` of them (they are counted first), by a join on the
    document beyond that.
 
-The filter has a fixed size (``filter_bits``), so the driver and each worker
-hold ``filter_bits / 8`` bytes of it whatever the input.  On inputs too large
+The filter's size (``filter_bits``) follows the input's, from 16 MB to 128 MB at
+most, which is what the driver and each worker hold of it.  On inputs too large
 for it the filter fills up, more keys become suspects, and the exact step still
-decides: results do not depend on its size.
+decides: results do not depend on its size.  A task sends its suspects on in
+parts of ``HELD`` keys, so it never holds all of them.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, slices, stored, texts_of, with_column
+from .common import col, free_name, partitions, plain_names, planned_bytes, slices, stored, texts_of, with_column
 
 SHARDS = 256
+#: Suspected keys that a task sums before it sends them on.
+HELD = 500_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -139,12 +142,33 @@ def _suspected(hashes: np.ndarray, bits: np.ndarray, shard_bits: int) -> np.ndar
     return (at(a) & at(b)).astype(bool)
 
 
-def repeated_keys(docs: DataFrame, *, min_docs: int, min_chars: int = 1, filter_bits: int = 1 << 27) -> DataFrame:
+#: Bits of the filter: at least, and at most as its size follows from the input.
+LEAST_BITS, MOST_BITS = 1 << 27, 1 << 30
+#: Bytes of input to a bit of the filter, a line having about 60 of them and 8 bits.
+BYTES_PER_BIT = 8
+
+
+def filter_bits_for(docs: DataFrame) -> int:
+    """A power of two after the planner's estimate of the input's size, from 16 MB to 128 MB of filter."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (planned_bytes(docs) // BYTES_PER_BIT).bit_length()))
+
+
+def repeated_keys(docs: DataFrame, *, min_docs: int, min_chars: int = 1, filter_bits: int | None = None) -> DataFrame:
     """(digest, n_docs, first_doc) of the keys that at least ``min_docs`` documents hold."""
     spark = docs.sparkSession
+    filter_bits = filter_bits or filter_bits_for(docs)
     shard_bits = filter_bits.bit_length() - 1 - 8
     held = spark.sparkContext.broadcast(twice_filter(docs, min_chars, filter_bits) if min_docs > 1 else b"\xff" * (filter_bits // 8))
 
+    def sent(seen: dict[bytes, list]):
+        items = list(seen.items())
+        for i in range(0, len(items), 50_000):
+            part = items[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())],
+                ["digest", "n_docs", "first_doc"],
+            )
+
     def suspects(batches):
         bits = np.frombuffer(held.value, np.uint8)
         seen: dict[bytes, list] = {}
@@ -160,13 +184,10 @@ def repeated_keys(docs: DataFrame, *, min_docs: int, min_chars: int = 1, filter_
                         x[0] += 1
                         if x[1] is None or (doc is not None and doc < x[1]):
                             x[1] = doc
-        items = list(seen.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())],
-                ["digest", "n_docs", "first_doc"],
-            )
+            if len(seen) > HELD:
+                yield from sent(seen)
+                seen = {}
+        yield from sent(seen)
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(suspects, "digest binary, n_docs long, first_doc long")
     return (
@@ -196,7 +217,8 @@ def dedup_lines(
     min_docs: int = 10,
     min_chars: int = 1,
     keep: str = "none",
-    filter_bits: int = 1 << 27,
+    counts: bool = True,
+    filter_bits: int | None = None,
     broadcast_keys: int = 1 << 18,
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_dropped``.
@@ -206,24 +228,27 @@ def dedup_lines(
     (rows) hold loses its lines everywhere (``keep="none"``), or everywhere but at its first
     line in the document of smallest id (``keep="first"``).  Repeats inside one document
     count once.  A row repeated as a whole counts as another document.  Other columns pass
-    through, whatever their names; existing ``n_lines`` / ``n_dropped`` columns are replaced.
+    through, whatever their names; existing ``n_lines`` / ``n_dropped`` columns are replaced,
+    unless ``counts`` is off, which leaves just the columns of ``docs``.
     Keys are compared by a 128-bit digest.  Nulls: a null text becomes "", a null doc_id is
     a document of its own.  An empty table gives an empty result.
     """
     if keep not in ("none", "first"):
         raise ValueError("keep is 'none' or 'first'")
-    if filter_bits & (filter_bits - 1) or not 1 << 16 <= filter_bits <= 1 << 35:
+    if filter_bits is not None and (filter_bits & (filter_bits - 1) or not 1 << 16 <= filter_bits <= 1 << 35):
         raise ValueError("filter_bits is a power of two from 2**16 to 2**35")
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    docs, named = plain_names(docs.drop("n_lines", "n_dropped") if counts else docs)
     keys = stored(repeated_keys(docs, min_docs=min_docs, min_chars=min_chars, filter_bits=filter_bits), "keys")
     first = keep == "first"
     columns = docs.columns
-    schema = T.StructType([*(f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*(f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema), *[T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped") if counts]])
 
     def result(batch, gone_of):
         got = [_kept(t, d, gone_of(i), min_chars, first) for i, (t, d) in enumerate(zip(texts_of(batch), batch.column("doc_id").to_pylist()))]
         batch = with_column(batch.select(columns), "text", pa.array([x[0] for x in got], pa.string()))
+        if not counts:
+            return batch
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], [*columns, "n_lines", "n_dropped"])
 
     if keys.count() <= broadcast_keys:
@@ -234,7 +259,10 @@ def dedup_lines(
             for batch in slices(batches):
                 yield result(batch, lambda i: gone)
 
-        return docs.mapInArrow(apply, schema)
+        return named(docs.mapInArrow(apply, schema))
+
+    # Names of helper columns that no column of ``docs`` has.
+    doc_name, gone_name = free_name(columns, "__doc"), free_name(columns, "__gone")
 
     def digests(batches):
         for batch in slices(batches):
@@ -247,10 +275,10 @@ def dedup_lines(
 
     def apply_joined(batches):
         for batch in slices(batches):
-            lists = batch.column("__gone").to_pylist()
+            lists = batch.column(gone_name).to_pylist()
             yield result(batch, lambda i: {bytes(x["digest"]): x["first_doc"] for x in lists[i] or ()})
 
     in_doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, digest binary")
-    per_doc = in_doc.join(keys, "digest").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("digest", "first_doc")).alias("__gone"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").select(*columns, "__gone")
-    return joined.mapInArrow(apply_joined, schema)
+    per_doc = in_doc.join(keys, "digest").groupBy(F.col("doc_id").alias(doc_name)).agg(F.collect_set(F.struct("digest", "first_doc")).alias(gone_name))
+    joined = docs.join(per_doc, col("doc_id").eqNullSafe(col(doc_name)), "left").select(*map(col, columns), gone_name)
+    return named(joined.mapInArrow(apply_joined, schema))

@@ -3,7 +3,9 @@
 Equal fingerprints are one class with its smallest doc_id.  Two fingerprints that differ in
 at most ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` blocks of bits,
 so every link meets in a bucket of one of the choose(blocks, radius) tables: no link is
-lost and no bucket has a cap.  In a bucket the bit planes are stored vertically, so one
+lost and no bucket has a cap.  The number of blocks follows the number of classes, so buckets
+stay small; one that does not is set aside by its task and compared by many tasks, each
+taking two of its parts.  In a bucket the bit planes are stored vertically, so one
 word operation updates the distances of 64 lanes; carry-save adders count the differing
 bits and a comparison stops as soon as all lanes exceed the radius.  What a bucket sends on
 is one link per member to the root of its component there, not pairs.
@@ -12,6 +14,7 @@ is one link per member to the root of its component there, not pairs.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, stored, texts_of, without_ids
+from .common import col, free_name, partitions, slices, stored, texts_of, without_ids
 from .components import connected_components
 
 #: Buckets up to this size are compared lane against shifted lane, larger ones row by block.
 SMALL = 48
+#: A task compares buckets up to this size; parts of larger ones have half of it.
+LARGE = 1 << 16
 
 
 def words_of(text: str) -> list[bytes]:
@@ -172,8 +177,56 @@ def _bucket_links(fps: np.ndarray, reps: np.ndarray, keys: np.ndarray, radius: i
     return np.concatenate(a), np.concatenate(b)
 
 
-def fingerprint_links(classes: DataFrame, *, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """Spanning links (a, b) of all pairs of ``classes`` (fp, rep) within the radius."""
+def blocks_for(n: int, radius: int) -> int:
+    """Number of blocks of bits with the least work for ``n`` classes: rows of all tables and comparisons."""
+
+    def work(blocks: int) -> float:
+        return comb(blocks, radius) * n * (1 + n / 2 ** (64 * (blocks - radius) / blocks) / 64)
+
+    return min(range(radius + 1, radius + 9), key=lambda b: (work(b), b))
+
+
+def _grouped(batches, keys: tuple[str, ...], most: int | None = None):
+    """Arrays (fp, rep, *keys) of whole buckets of sorted rows, some buckets at a time.
+
+    With ``most``, the rows of a bucket that grows beyond it come as they stand, marked False.
+    """
+    names = ("fp", "rep", *keys)
+    held, aside = [np.empty(0, np.int64)] * len(names), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = [np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for x, c in zip(held, names)]
+        if aside is not None:  # the bucket set aside goes on
+            same = np.logical_and.reduce([x == v for x, v in zip(held[2:], aside)])
+            n = int(same.sum())  # sorted rows: it stands first
+            if n:
+                yield False, [x[:n] for x in held]
+                held = [x[n:] for x in held]
+            if len(held[0]):
+                aside = None
+        if not len(held[0]):
+            continue
+        other = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in held[2:]]))
+        cut = other[-1] + 1 if other.size else 0  # the last bucket may go on
+        if cut:
+            yield True, [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+        if most is not None and len(held[0]) > most:
+            aside = [x[-1] for x in held[2:]]
+            yield False, held
+            held = [x[:0] for x in held]
+    if len(held[0]):
+        yield True, held
+
+
+def fingerprint_links(classes: DataFrame, *, radius: int = 4, blocks: int | None = None, large: int = LARGE) -> DataFrame:
+    """Spanning links (a, b) of all pairs of ``classes`` (fp, rep) within the radius.
+
+    ``blocks`` follows the number of classes if it is not given; links do not depend on it,
+    nor on ``large``, the size beyond which a bucket is dealt over many tasks.
+    """
+    blocks = blocks or blocks_for(max(1, classes.count()), radius)
     if not 0 <= radius < blocks or radius > 7:
         raise ValueError("0 <= radius < blocks, radius <= 7")
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -182,41 +235,53 @@ def fingerprint_links(classes: DataFrame, *, radius: int = 4, blocks: int = 6) -
         mask = sum(((1 << cuts[i + 1]) - (1 << cuts[i])) for i in held)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
 
-    def run(batches):
-        def links(fps, reps, t, keys):
-            key = keys ^ (t.astype(np.int64) * np.int64(0x1E3779B97F4A7C15))  # tables side by side
-            turn = np.r_[False, (t[1:] != t[:-1]) | (keys[1:] != keys[:-1])].cumsum()
-            a, b = _bucket_links(fps.view(np.uint64), reps, turn, radius) if len(key) else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        held = [np.empty(0, np.int64)] * 4
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "rep", "t", "key")]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            last = np.flatnonzero((held[2] != held[2][-1]) | (held[3] != held[3][-1]))
-            cut = last[-1] + 1 if last.size else 0  # the last bucket may go on
-            if cut:
-                yield links(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield links(*held)
-
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]))
-    rows = classes.select("fp", "rep", tables.alias("b")).select("fp", "rep", "b.t", "b.key")
-    n = partitions(classes.sparkSession)
-    return rows.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long").distinct()
+    def links(rows):
+        turn = np.r_[False, np.logical_or.reduce([x[1:] != x[:-1] for x in rows[2:]])].cumsum()
+        return _bucket_links(rows[0].view(np.uint64), rows[1], turn, radius)
+
+    def out(a, b, t=None, key=None):
+        nothing = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), nothing if t is None else pa.array(t, pa.int64()), nothing if key is None else pa.array(key, pa.int64())], ["a", "b", "t", "key"])
+
+    def compare(batches):
+        for whole, rows in _grouped(batches, ("t", "key"), large):
+            if whole:
+                yield out(*links(rows))
+            else:
+                yield out(*rows)  # a row of a large bucket: fingerprint, representative, bucket
 
+    def compare_parts(batches):
+        for _, rows in _grouped(batches, ("t", "key", "i", "j")):
+            yield out(*links(rows))
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radius: int = 4, blocks: int = 6) -> DataFrame:
+    schema = "a long, b long, t long, key long"
+    tables = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)]))
+    rows = classes.select("fp", "rep", tables.alias("b")).select("fp", "rep", "b.t", "b.key")
+    n = partitions(classes.sparkSession)
+    found = stored(rows.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(compare, schema), "bucket-links")
+    done = found.where("t is null").select("a", "b")
+    aside = found.where("t is not null").select(F.col("a").alias("fp"), F.col("b").alias("rep"), "t", "key")
+    if aside.isEmpty():
+        return done.distinct()
+    # Each pair of parts of a large bucket meets in one task: rows are repeated once per part.
+    parts = aside.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, large // 2))).cast("int").alias("parts"))
+    dealt = aside.join(parts, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
+    dealt = dealt.select("fp", "rep", "t", "key", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("fp", "rep", "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    more = dealt.repartition(n, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j").mapInArrow(compare_parts, schema)
+    return done.unionByName(more.select("a", "b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of ``docs``.
 
     ``fingerprint`` has 16 hexadecimal digits; documents whose fingerprints are linked by
     steps of at most ``radius`` bits share a component, named by its smallest doc_id.  A null
     or empty text, or one of white space only, has fingerprint zero and is linked like any
     other.  A null doc_id links nothing and has a null component.  Rows that repeat a doc_id
-    are one document in the links.  Other columns are left out.
+    are one document in the links.  Other columns are left out.  Texts of any length are
+    hashed whole, some shingles at a time; equal fingerprints are compared once, whatever
+    their number; an empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     classes = stored(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
@@ -231,6 +296,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, seed: int = 42, radius
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the document of smallest id of each component; rows without an id stay."""
+    """``docs`` with one row of each component: the document of smallest id.
+
+    Rows without an id stay, all of them.  If rows repeat the id that is kept, one stays, that
+    of the least hash of its columns.  All columns pass through, whatever their names.
+    """
     found = near_duplicates(docs, **how)
-    return without_ids(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    kept = without_ids(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    name = free_name(docs.columns, "__row")
+    repeated = stored(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(name)), "repeated")
+    if repeated.isEmpty():
+        return kept
+    whole = kept.join(repeated, col("doc_id") == col(name), "left_semi")
+    mark = F.xxhash64(*[col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = whole.groupBy(col("doc_id").alias(name)).agg(F.min_by(F.struct(*map(col, docs.columns)), mark).alias("row")).select("row.*")
+    return without_ids(kept, repeated.select(col(name).alias("doc_id"))).unionByName(one)

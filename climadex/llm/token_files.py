@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, doc_buckets, partitions, shared_dir, slices, texts_of
+from .common import bucket_of, doc_buckets, ranges, shared_dir, slices, texts_of
 from .tokens import default_path, word_bpe
 
 #: Sequences in a record batch: 64 x 2048 ids are 256 kB.
@@ -95,8 +95,7 @@ def write_token_files(docs: DataFrame, folder: str, *, length: int = 2048, end_i
     spark = docs.sparkSession
     path = tokenizer_path or default_path("word_bpe_49k.json")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions(spark)
-    bounds = doc_buckets(docs, n)
+    bounds = doc_buckets(docs, ranges(docs))
 
     def encode(batches):
         bpe, end = word_bpe(path), np.array([end_id], "<u2").tobytes()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from climadex.llm import decontam, line_dedup, packing, simhash, toxicity
-from climadex.llm.common import stored, table
+from climadex.llm.common import scratch, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 10 documents or more go everywhere; every document stays."""
-    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, min_docs=10, min_chars=1, counts=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,11 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage{i}")
-    return docs
+    with scratch(spark) as tables:
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            docs = stored(stage(spark, docs, sf_dir), f"stage{i}")
+            tables.clear(keep=tables.folders[-1:])  # only the stage's result is read from here on
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Learned models, a latent space and a linear program have no SQL; a brute-force version tests it.

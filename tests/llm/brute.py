@@ -18,6 +18,10 @@ SCHEMA = T.StructType(
         T.StructField("bucket", T.LongType()),
         T.StructField("fp", T.StringType()),
         T.StructField("n_lines", T.LongType()),
+        T.StructField("meta.url", T.StringType()),
+        T.StructField("__gone", T.StringType()),
+        T.StructField("__id", T.LongType()),
+        T.StructField("__doc", T.MapType(T.StringType(), T.LongType())),
     ]
 )
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
@@ -45,10 +49,10 @@ def rows(n: int = 60, seed: int = 3):
     texts[34] = prose(rng, 30_000)
     texts[35] = "a" * 5000
     texts[36] = "ends with a blank "
-    out = [(i, t, ["en", "fr", None][i % 3], "src0" if i % 3 else None, len(t or ""), "x", i, "y", 7) for i, t in enumerate(texts)]
-    out.append((5, texts[5], "en", "src0", 1, None, None, None, None))  # a repeated row
-    out.append((6, "another text of the same id", None, None, None, None, None, None, None))
-    out.append((None, texts[7], "fr", None, None, None, None, None, None))
+    out = [(i, t, ["en", "fr", None][i % 3], "src0" if i % 3 else None, len(t or ""), "x", i, "y", 7, f"u{i}", "g", -i, {"a": i}) for i, t in enumerate(texts)]
+    out.append((5, texts[5], "en", "src0", 1, *[None] * 8))  # a repeated row
+    out.append((6, "another text of the same id", *[None] * 11))
+    out.append((None, texts[7], "fr", *[None] * 10))
     return out
 
 

@@ -16,7 +16,7 @@ KEY = lambda r: tuple((x is None, x) for x in r)
 def test_line_dedup_matches_brute_force(spark, how):
     data = brute.rows()
     out = line_dedup.dedup_lines(brute.frame(spark, data), **how)
-    assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == ["doc_id", "text", "lang", "source", "n_chars", "score", "bucket", "fp"]
+    assert [c for c in out.columns if c not in ("n_lines", "n_dropped")] == [c for c in brute.SCHEMA.names if c != "n_lines"]
     got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()]
     want = brute.dedup(data)
     assert sum(x[2] for x in want) >= 12
@@ -31,6 +31,23 @@ def test_line_dedup_keeps_first_occurrence(spark):
         line_dedup.dedup_lines(docs, keep="last")
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_keys": 0}])
+def test_line_dedup_without_counts_leaves_the_columns(spark, how):
+    docs = brute.frame(spark, brute.rows())
+    out = line_dedup.dedup_lines(docs, counts=False, **how)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] is not None) == sorted((r[0], r[3]) for r in brute.dedup(brute.rows()) if r[0] is not None)
+    assert {r["n_lines"] for r in out.collect()} == {7, None}
+
+
+def test_filter_size_follows_the_input_and_keys_do_not_depend_on_parts(spark, monkeypatch):
+    docs = brute.frame(spark, brute.rows())
+    assert line_dedup.filter_bits_for(docs) == line_dedup.LEAST_BITS
+    want = sorted(map(tuple, line_dedup.repeated_keys(docs, min_docs=2).collect()))
+    monkeypatch.setattr(line_dedup, "HELD", 1)
+    assert sorted(map(tuple, line_dedup.repeated_keys(docs, min_docs=2).collect())) == want
+
+
 def test_line_dedup_empty_table(spark):
     assert line_dedup.dedup_lines(brute.frame(spark, [])).count() == 0
 
@@ -65,6 +82,14 @@ def test_simhash_empty_table_and_dropping(spark):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
     assert 20 in ids and 21 not in ids and None in ids
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+
+
+def test_one_row_stays_of_a_repeated_one(spark):
+    data = [(7, "one text of some words here", "en"), (7, "one text of some words here", "fr"), (7, "one text of some words here", "en"), (9, "something else altogether, is it not", "de")]
+    docs = spark.createDataFrame(data, "doc_id int, text string, `meta.url` string").repartition(3)
+    got = simhash.drop_near_duplicates(docs)
+    assert got.dtypes == docs.dtypes and sorted(r["doc_id"] for r in got.collect()) == [7, 9]
 
 
 def test_bucket_kernels_agree_with_distances():
@@ -102,6 +127,18 @@ def test_links_of_every_near_pair_are_found(spark):
     assert {(2 * i + 1, 2 * i) for i in range(200)} <= links
 
 
+def test_links_do_not_depend_on_blocks_nor_on_large_buckets(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 5)
+    fps = np.unique(np.concatenate([base[rng.integers(0, 5, 600)] ^ (1 << rng.integers(0, 62, 600)) ^ (1 << rng.integers(0, 62, 600)), rng.integers(0, 1 << 62, 300)]))
+    classes = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    want = brute.components(range(len(fps)), lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 4)
+    for how in ({}, {"blocks": 7}, {"large": 20}):
+        parts = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(classes, **how)).collect()}
+        assert {i: parts.get(i, i) for i in range(len(fps))} == want
+    assert simhash.blocks_for(10**5, 4) <= simhash.blocks_for(10**8, 4) < simhash.blocks_for(10**11, 4)
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(100)]
     hub = [(1000, 1000 + i) for i in range(1, 200)]
