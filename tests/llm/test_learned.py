@@ -173,6 +173,22 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert None in ids and 200 in ids and not {w[0] for w in got if w[0] is not None} & set(ids)
 
 
+def test_leaks_do_not_depend_on_blocks_of_items(spark, monkeypatch):
+    docs, items, _ = leak_data()
+    d = spark.createDataFrame([*docs, (500, " ".join([brute.prose(random.Random(1), 200_000), items[3][1]]))], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([*items, items[0], (11, " ".join(t for _, t in items[:8]))], "item_id long, text string")
+    fitted = []
+    monkeypatch.setattr(decontam, "fit", lambda *a, real=decontam.fit, **how: fitted.append(1) or real(*a, **how))
+    want = sorted(decontam.leaks(d, b).collect(), key=str)
+    assert (500, 3) in {(r["doc_id"], r["item_id"]) for r in want}
+    for most in (1, 3):
+        monkeypatch.setattr(decontam, "BLOCK_PASSAGES", most)
+        assert sorted(decontam.leaks(d, b).collect(), key=str) == want
+    assert len(fitted) == 3
+    near = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, b, word_index=False).collect()}
+    assert len(near) >= 0.9 * len(want) and near <= {(r["doc_id"], r["item_id"]) for r in want}
+
+
 def test_leaks_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "some other words and more of them")], "item_id long, text string")
