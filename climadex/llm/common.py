@@ -129,13 +129,13 @@ def hash_below(share: float, *columns: str):
     return F.xxhash64(*columns) < F.lit(-(1 << 63) + int(share * (1 << 64)))
 
 
-def sampled_rows(rows: DataFrame, n: int, name: str, *, by: str | None = None) -> DataFrame:
-    """About ``n`` rows of different ids (of each value of ``by``), stored; (doc_id, text, by).
+def sampled_rows(rows: DataFrame, n: int, name: str, *, by: str | None = None, most: int = 1000) -> DataFrame:
+    """About ``n`` rows of different ids (of each of the ``most`` largest values of ``by``), stored; (doc_id, by, text).
 
     Ids whose hash is below a threshold are taken; the threshold comes from one count of the
     different ids, so no task sends on more than its share of the sample and no key is sorted
     in one place.  Rows that repeat an id are merged where they stand: the least text stays.
-    Rows without an id are left out.  ``by`` has few values.
+    Rows without an id are left out.
     """
     rows = rows.where(F.col("doc_id").isNotNull())
     number = F.approx_count_distinct("doc_id", 0.02).alias("n")
@@ -144,9 +144,8 @@ def sampled_rows(rows: DataFrame, n: int, name: str, *, by: str | None = None) -
         few = rows.where(hash_below(n / max(total, 1), "doc_id"))
         keys = ["doc_id"]
     else:
-        counts = rows.groupBy(by).agg(number)
+        counts = rows.groupBy(by).agg(number).orderBy(F.desc("n"), by).limit(most)
         limit = F.when(F.col("n") <= n, F.lit((1 << 63) - 1)).otherwise((F.lit(float(n)) / F.col("n") * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
-        # A row per value of ``by``.
         limits = rows.sparkSession.createDataFrame(counts.select(by, limit.alias("__limit")).collect(), f"{by} string, __limit long")
         few = rows.join(F.broadcast(limits), by).where(F.xxhash64("doc_id") <= F.col("__limit"))
         keys = ["doc_id", by]

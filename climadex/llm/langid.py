@@ -3,7 +3,7 @@
 Features are hashed character n-grams of orders 1 to 3 of the whole lower-cased text, as
 shares of the text's n-grams weighted by inverse document frequency (counted over all
 training documents).  The weights are learned by follow-the-regularised-leader with an
-elastic net on a bounded sample per language, then a temperature is fitted on rows of that
+elastic net on a bounded sample per language, stored once, then a temperature is fitted on rows of that
 sample set aside.
 """
 
@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod5, slices, sum_vectors, texts_of, vector_blocks
+from .common import crc32_mod5, sampled_rows, slices, sum_vectors, texts_of, vector_blocks
 
 DIMS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
@@ -107,11 +107,12 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, *, ep
     return w[:DIMS], w[DIMS]
 
 
-def train(docs: DataFrame, *, rows_per_language: int = 800) -> LanguageModel:
+def train(docs: DataFrame, *, rows_per_language: int = 800, most_languages: int = 500) -> LanguageModel:
     """Fit on documents that have a language, a doc_id and are not held out.
 
-    Document frequencies cover all of them, the weights at most ``rows_per_language`` per
-    language (those of smallest hash of doc_id).
+    Document frequencies cover all of them, the weights about ``rows_per_language`` different
+    ids per language (a share by hash of doc_id).  The ``most_languages`` values of ``lang``
+    with most ids are learned, which bounds the model.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc32_mod5() != 0))
 
@@ -131,9 +132,7 @@ def train(docs: DataFrame, *, rows_per_language: int = 800) -> LanguageModel:
 
     counts = sum_vectors(known.select("text").mapInArrow(frequencies, "block int, data binary"), DIMS + 2, kind="<i8")
     idf = np.log((1 + counts[-1]) / (1 + counts[:DIMS])) + 1
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows_per_language).select("doc_id", F.col("lang").alias("y"))
-    chosen = known.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("y")).select("doc_id", "lang", "text")
+    chosen = sampled_rows(known, rows_per_language, "languages", by="lang", most=most_languages)
 
     def vectors(batches):
         for batch in slices(batches, most=NGRAM_BYTES):
@@ -146,7 +145,7 @@ def train(docs: DataFrame, *, rows_per_language: int = 800) -> LanguageModel:
                 n.append((c[u < DIMS] / max(1, c[u < DIMS].sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "lang", "at", "share"])
 
-    rows = sorted(chosen.mapInArrow(vectors, "doc_id long, lang string, at binary, share binary").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(chosen.mapInArrow(vectors, "doc_id long, lang string, at binary, share binary").collect(), key=lambda r: (r["doc_id"], r["lang"]))
     names = sorted({r["lang"] for r in rows})
     if not rows:
         return LanguageModel([], np.zeros((DIMS + 1, 0)), np.zeros(0))
@@ -188,7 +187,10 @@ def languages(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of ``docs``.
 
     A null text or one without a letter is ``und`` with score 0, as is everything if there is
-    nothing to learn from.  A null doc_id is not held out and not learned from.
+    nothing to learn from.  A null doc_id is not held out and not learned from.  Rows that
+    repeat a doc_id are predicted each by itself and learned from once per language (the
+    least of their texts); of languages equally likely the first by name is given.  Whole
+    texts of any length count; an empty table gives an empty result; other columns are left out.
     """
     out = identify(docs, train(docs, **how))
     return out.select("doc_id", F.coalesce(crc32_mod5() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
