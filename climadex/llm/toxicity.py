@@ -9,7 +9,7 @@ weight.  Its posterior labels train a logistic regression over the voters' count
 bias is set on the training labels.  Every document is then scored over its whole text.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are learned from, at most
-``train_rows`` of them (those of smallest hash of doc_id); the held-out share stays unseen.
+``train_rows`` of them (a share by hash of doc_id, stored once); the held-out share stays unseen.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod5, slices, stored, sum_vectors, texts_of, vector_blocks
+from .common import crc32_mod5, hash_below, plain_names, slices, stored, sum_vectors, texts_of, vector_blocks
 from .simhash import near_duplicates
 
 _WORD = re.compile(r"\w+")
 #: Lengths of the word starts that may vote: stems of inflected insults.
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7, 8)
 BUCKETS = 1 << 20
 
 #: Fixed patterns, voters of their own.
@@ -177,15 +177,33 @@ def _broad(fires: np.ndarray) -> list[int]:
     return sorted(kept)
 
 
+def _unnested(features: list[str]) -> list[str]:
+    """Of features in the order of their strength, those that add firings to the ones before them.
+
+    A word, or a longer start, fires only where a start that it begins with does; of a word and
+    a start of it the stronger one stands for both.
+    """
+    kept: list[str] = []
+    for f in features:
+        own = f.removeprefix("^")
+        if not any(own.startswith(k) if g else k.startswith(own) if f[0] == "^" else False for k, g in ((x.removeprefix("^"), x[0] == "^") for x in kept)):
+            kept.append(f)
+    return kept
+
+
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, voters: int = 400) -> ToxicityModel:
     """Fit on at most ``train_rows`` labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(crc32_mod5() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    known = known.where(crc32_mod5() != 0)
+    # About train_rows of them by hash, no more than train_rows: a task sorts its share of these alone.
+    few = known.where(hash_below(train_rows / max(1, known.count()), "doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # The one scan of all texts; rows that repeat an id are merged, so the sample keeps its bound.
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    chosen = stored(chosen.select("doc_id", "text", "toxic"), "labelled")
 
     # Copies and near copies of a text count once, or a large group of them would fill the
     # lexicon with its words: one text for each class and label.
-    classes = near_duplicates(chosen).groupBy("doc_id").agg(F.min("component_id").alias("class"))
+    classes = near_duplicates(chosen).select("doc_id", F.col("component_id").alias("class"))
     distinct = stored(chosen.join(F.broadcast(classes), "doc_id").groupBy("class", "toxic").agg(F.min("text").alias("text")), "distinct")
 
     def count(batches):
@@ -225,8 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 20_000, voter
         return ToxicityModel()
     t, c = (np.array([r[k] for r in found], float) for k in ("t", "c"))
     z = _strength(t, c, n_toxic, n_clean)
-    keep = [i for i in np.argsort(-z) if z[i] > STRONG][:voters]
-    model = ToxicityModel(lexicon=sorted(found[i]["feature"] for i in keep))
+    names = [r["feature"] for r in found]
+    strong = _unnested([names[i] for i in np.lexsort((names, [-len(f) for f in names], -z)) if z[i] > STRONG])
+    model = ToxicityModel(lexicon=sorted(strong[:voters]))
 
     def cast(model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
         """Votes and labels of the training rows, at most ``train_rows`` short rows."""
@@ -276,18 +295,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     Labels with a null doc_id or a null mark are not used; if several rows label a document,
     the worse mark counts.  Without any usable label of either kind the fixed patterns alone
-    decide.  A null doc_id is not held out.  Other columns are left out.
+    decide.  A null doc_id is not held out.  Rows that repeat a doc_id are scored each by
+    itself and learned from once (the least of their texts).  Whole texts of any length are
+    scored; an empty table gives an empty result.  Other columns are left out.
     """
     out = score(docs, train(docs, labels, **how))
     return out.select("doc_id", F.coalesce(crc32_mod5() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns, in one scan."""
+    """The rows of ``docs`` that score below 0.5, with all their columns, in one scan.
+
+    Each row is judged by itself: null or empty texts, rows without an id and repeated rows
+    stay or go by their own score.
+    """
     model = train(docs, labels, **how)
+    docs, named = plain_names(docs)
 
     def run(batches):
         for batch in slices(batches):
             yield batch.filter(pa.array([model.score(t) < 0.5 for t in texts_of(batch)]))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return named(docs.mapInArrow(run, T.StructType(docs.schema.fields)))
