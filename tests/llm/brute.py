@@ -1,5 +1,6 @@
 """Plain-Python versions of the operators, and small documents with awkward cases."""
 
+import math
 import random
 import re
 
@@ -113,3 +114,78 @@ def secrets(text):
     ):
         out += [(kind, m.start(), m.end()) for m in p.finditer(text) if ok(m)]
     return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def toxicity(text, model, patterns):
+    """Score of a text by a given model, each voter counted by itself."""
+    tokens = re.findall(r"\w+", (text or "").lower())
+    counts, kinds = [], set()
+    for f in model.lexicon:
+        hit = [t for t in tokens if (len(t) > len(f) - 1 and t.startswith(f[1:]) if f[0] == "^" else t == f)]
+        counts.append(len(hit))
+        kinds.update(hit)
+    counts += [len(list(p.finditer((text or "").lower()))) for _, p in patterns]
+    counts.append(len(kinds) if len(kinds) > 1 else 0)
+    raw = model.bias + sum(w * math.log(1 + c) for w, c in zip(model.weights, counts) if c)
+    return 1 / (1 + math.exp(-raw))
+
+
+def language(text, model, dims, scale):
+    """(language, probability) by a given model, n-gram by n-gram."""
+    text = (text or "").lower().replace("\0", " ")
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    m = (1 << 32) - 1
+    total, n = [0.0] * len(model.languages), 0
+    for i in range(len(text)):
+        for order in (1, 2, 3):
+            if i + order > len(text):
+                continue
+            h = ord(text[i]) * 0x9E3779B1 & m
+            for c in text[i + 1 : i + order]:
+                h = ((h ^ (h >> 15)) * 0x85EBCA77 + ord(c) * 0x9E3779B1) & m
+            row = model.values[((h ^ (h >> 13)) * 0xC2B2AE3D & m) >> 17]
+            total = [t + float(r) for t, r in zip(total, row)]
+            n += 1
+    z = [(scale * t / n + float(b)) / model.temperature for t, b in zip(total, model.bias)]
+    p = [math.exp(x - max(z)) for x in z]
+    best = p.index(max(p))
+    return model.languages[best], p[best] / sum(p)
+
+
+def walk(text, moves, symbols, classes, end, steps):
+    """Symbols that a walk over the text emits at the given ascending steps, 0 past its end."""
+    kinds, at, out, wanted = classes(text).tolist(), 0, {}, set(steps)
+    for step in range(max(steps) + 1):
+        now = kinds[at] if at < len(kinds) else end
+        if step in wanted:
+            out[step] = 0 if now == end else int(symbols[now])
+        if now != end:
+            at += int(moves[step % len(moves)][now])
+    return [out[s] for s in steps]
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+    return row[-1]
+
+
+def leaked(text, item, cover=0.7, least=0.5, answer_cover=0.8, short=6, brief=12, window=24):
+    """Whether a place of the text holds the item, over all places."""
+    a, b = (re.findall(r"\w+", (t or "").lower()) for t in (item, text))
+    n = len(a)
+    if not n:
+        return False
+    if n < short:
+        return any(b[i : i + n] == a for i in range(len(b) - n + 1))
+    answer = a[-min(n, max(3, n // 4)) :]
+    for i in range(max(1, len(b))):
+        place = b[i : i + n + min(n, window)]
+        share = lcs(a, place) / n
+        if share >= cover or n > brief and share >= least and lcs(answer, place) >= answer_cover * len(answer):
+            return True
+    return False

@@ -55,6 +55,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert again == {(r["doc_id"], r["score"]) for r in got}
 
 
+def test_scores_are_those_of_the_model_and_repeats_stay_bounded(spark):
+    """The query's result against a plain version of the written model; one id on a third of all rows."""
+    docs, labels = toxic_docs(300)
+    docs += [(12, docs[12][1])] * 150 + [(7, "idiot " * 50_000)]
+    labels += [(12, 1, 1)] * 50
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(d, lab)
+    assert model.lexicon and model.n_train <= len({i for i, *_ in labels})
+    want = sorted((i is not None, i or 0, round(brute.toxicity(t, model, toxicity.PATTERNS), 9)) for i, t in docs)
+    got = toxicity.toxicity(d, lab).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, round(r["score"], 9)) for r in got) == want
+    few = toxicity.train(d, lab, train_rows=60)
+    assert 0 < few.n_train <= 60
+
+
 def test_copies_of_a_toxic_text_leave_room_for_insults(spark):
     rng = random.Random(21)
     long = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(200)]
@@ -69,7 +85,7 @@ def test_copies_of_a_toxic_text_leave_room_for_insults(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    assert {"vequaire", "zorbane", "plimteq"} <= set(model.lexicon) and not set(long) & set(model.lexicon)
+    assert all(model.votes(w) for w in ("vequaire", "zorbane", "plimteq")) and not any(model.votes(w) for w in long)
 
 
 def test_toxicity_without_labels(spark):
@@ -126,6 +142,19 @@ def test_languages_on_held_out_rows(spark):
     assert langid.languages(docs.where("false")).count() == 0
 
 
+def test_predictions_are_those_of_the_model(spark):
+    """The query's result against a plain version of the written model; a tie of two rows, a long text, a hot id."""
+    data = language_docs(120) + [(3, language_docs(4)[3][1], "de"), (500, "the on wh " * 20_000, "en"), (501, "日本語 ñ \0 x", None), (502, "", "en")]
+    data += [(9, f"eau que {i}", "fr") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    model = langid.train(docs, rows_per_language=60)
+    got = langid.languages(docs, rows_per_language=60).collect()
+    want = [(i, *brute.language(t, model, langid.DIMS, langid.SCALE)) for i, t, _ in data if len(t) < 10_000]
+    assert sorted((r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in got if r["doc_id"] != 500) == sorted((i, x, round(p, 6)) for i, x, p in want)
+    assert [r["lang_pred"] for r in got if r["doc_id"] == 500] == ["en"]
+    assert langid.train(docs, most_languages=2).languages == sorted(langid.train(docs, most_languages=2).languages) and len(langid.train(docs, most_languages=2).languages) == 2
+
+
 def test_ngrams_do_not_cross_texts():
     hashes, starts = langid.ngrams(["ab", "", "cde"])
     assert starts.tolist() == [0, 3, 4]
@@ -299,11 +328,38 @@ def test_secret_spans(spark):
 
 
 def test_the_network_adds_formats_that_no_rule_has(spark):
+    """Formats that neither the rules, nor training, nor the threshold have seen, in documents of the table."""
     data = secret_docs()
-    net = secret_scan.train(spark.createDataFrame(data, "doc_id long, text string"))
     rng = np.random.default_rng(77)
-    fresh = secret_scan.made_up(rng, ["the", "there", "anon", "hested"])
-    found = sum(any(k != "cnn" and b <= s < e or k == "cnn" and b <= s < e for k, b, e in secret_scan.scan_text(t, net)) for t, s, _ in fresh)
-    assert found / len(fresh) > 0.8
+    alnum = secret_scan._ALNUM
+    unseen = [("npm_", alnum, 36, 36), ("SG.", alnum, 22, 22, ".", alnum, 43, 43), ("AIza", alnum + "_-", 35, 35), ("hvs.", alnum, 24, 24)]
+    planted = secret_scan.made_up(rng, ["the", "there", "anon", "hested"], unseen, 80)
+    others = secret_scan.identifiers(rng, ["the", "there", "anon", "hested"], 80)
+    rows = [*data, *((1000 + i, t) for i, (t, _, _) in enumerate(planted)), *((2000 + i, t) for i, (t, _, _) in enumerate(others))]
+    rows += [(3000, brute.prose(rng=random.Random(2), n=60_000) + " " + planted[0][0]), (3001, "Zq9" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # The made-up ids are held out of training by the sample: the network sees the rest.
+    net = secret_scan.train(docs.where("doc_id < 1000"))
+    assert np.isfinite(net.threshold)
+
+    def spans(t):
+        return [x for x in secret_scan.scan_text(t, net) if x[0] == "cnn"]
+
+    found = sum(any(b < e and s < f for _, b, f in spans(t)) for t, s, e in planted)
+    assert found / len(planted) > 0.85
+    assert sum(bool(spans(t)) for t, _, _ in others) <= 2
     clean = [t for i, t in data if i is not None and i < 200 and i % 5 and i % 7]
-    assert sum(len(secret_scan.scan_text(t, net)) for t in clean) <= 2
+    assert sum(len(spans(t)) for t in clean) <= 2
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(docs).collect()}
+    assert any(s["kind"] == "cnn" for s in got[3000]) and got[3001] is not None
+    assert sum(any(s["kind"] == "cnn" for s in got[1000 + i]) for i in range(80)) > 40
+
+
+def test_windows_show_all_of_a_candidate():
+    text = "key=" + "".join(chr(97 + i % 26) + str(i % 10) for i in range(70))
+    (a, b), = secret_scan.candidates(text)
+    seen = secret_scan.windows(text, a, b)
+    inside = [w[secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.INSIDE].tolist() for w in seen]
+    whole = secret_scan._of(text[a:b]).tolist()
+    assert len(seen) == 3 and inside[0] + inside[1] == whole[:96] and inside[2] == whole[-48:]
+    assert secret_scan.candidates("Donaudampfschiff 2086184495729368 mail.example.com 12-34-5678-9012 SHOUTED_WORDS") == []
