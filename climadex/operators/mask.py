@@ -53,3 +53,18 @@ def nearest_unit(stations: DataFrame, units: DataFrame) -> DataFrame:
     d = haversine_km(F.col("lon"), F.col("lat"), F.col("ulon"), F.col("ulat"))
     w = Window.partitionBy("station_id").orderBy("d", "unit")
     return stations.join(u).withColumn("d", d).withColumn("r", F.row_number().over(w)).where("r = 1").select("station_id", "unit")
+
+
+def assign_stations(stations: DataFrame, units: DataFrame, coast: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unit, station_id) and (unit, alpha): gauges by nearest unit, coastal shares of all units.
+
+    ``units`` has reference points (unit, lon, lat), ``coast`` shares (unit, alpha); a unit
+    without one has none.  Coastal units without a gauge are an error.
+    """
+    dealt = nearest_unit(stations, units).select("unit", "station_id")
+    alpha = units.select("unit").distinct().join(coast.select("unit", "alpha"), "unit", "left").select("unit", F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
+    # A row per unit at most.
+    dry = [r["unit"] for r in alpha.where("alpha > 0").join(dealt, "unit", "left_anti").orderBy("unit").collect()]
+    if dry:
+        raise ValueError(f"coastal units without a gauge: {', '.join(map(str, dry))}")
+    return dealt, alpha

@@ -58,13 +58,13 @@ def finish(raw: DataFrame, *, reference: tuple[str, str], area: bool, weights: D
     return z.withColumnRenamed("value", out)
 
 
-def temperature_raw(cube: DataFrame, *, reference, percentile=90, extremum="max", above=True, kernel="native") -> DataFrame:
+def temperature_raw(cube: DataFrame, *, reference, percentile=90, extremum="max", above=True, kernel="pandas") -> DataFrame:
     if extremum not in ("min", "max"):
         raise ValueError(f"extremum must be 'min' or 'max', not {extremum!r}")
     return temperature_frequency(cube, reference=reference, percentile=percentile, extremum=extremum, above=above, kernel=kernel)
 
 
-def temperature_component(cube, *, reference, percentile=90, extremum="max", above=True, cells=None, threshold=0.8, area=False, weights=None, saved=None, kernel="native", engine="base") -> DataFrame:
+def temperature_component(cube, *, reference, percentile=90, extremum="max", above=True, cells=None, threshold=0.8, area=False, weights=None, saved=None, kernel="pandas", engine="base") -> DataFrame:
     """Half the day's and half the night's frequency of crossings; column ``t<percentile>``."""
     check_engine(engine)
     out = f"t{int(percentile)}"

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.physics import wind_power as power
+from ..operators.drought import consecutive_dry_days, drought_interpolate
+from ..operators.frequency import daily_table, monthly_frequency, temperature_frequencies, wind_days_above
+from ..operators.rolling import max_precipitation_daily, part_thresholds, percentile_thresholds
 from ..operators.standardize import aggregate_granularity
-from .components import Saved, check_engine, drought_component, precipitation_component, sealevel_component, temperature_component, wind_component
+from ..schema import require
+from .components import Saved, _masked, _raw, check_engine, finish, sealevel_component
 
 GRIDDED = ("precipitation", "drought", "wind")
 
@@ -68,6 +74,41 @@ def combine_admin(high: DataFrame, low: DataFrame, precipitation: DataFrame, dro
     return out.withColumn("aci", (_sum(high_col, low_col) + level) / (5 + F.col("alpha"))).drop("alpha")
 
 
+def raw_components(hourly: DataFrame, cells: DataFrame | None, threshold: float, *, reference: tuple[str, str], percentile_high: float, percentile_low: float, high_col: str, low_col: str, kernel: str):
+    """A function that gives the raw gridded components by name; they share two passes over the hours.
+
+    One pass makes the daily table, dealt by cell and persisted (1/24 of the rows; it stays
+    until it is unpersisted or the session ends); the other one, over the hours of the
+    reference period, makes the thresholds of both percentiles and parts of the day.
+    """
+
+    @cache
+    def make() -> dict[str, DataFrame]:
+        masked = _masked(hourly, cells, threshold)
+        daily = daily_table(masked).repartition("cell_id").persist(StorageLevel.MEMORY_AND_DISK)
+        if kernel == "pandas":
+            thresholds = part_thresholds(masked, percentiles=(percentile_low, percentile_high), reference=reference)
+        else:
+            parts = [
+                percentile_thresholds(masked, percentile=p, reference=reference, part=part, kernel=kernel).withColumnRenamed("thr", f"{part}_{k}")
+                for part in ("day", "night")
+                for k, p in enumerate((percentile_low, percentile_high))
+            ]
+            thresholds = reduce(lambda a, b: a.join(b, ["cell_id", "doy"], "full"), parts)
+        warm = temperature_frequencies(daily, thresholds, high=high_col, low=low_col)
+        rain = daily.select("cell_id", "day", F.col("tp").alias("value"))
+        wp = daily.select("cell_id", "day", power(F.col("u"), F.col("v")).alias("wp"))
+        return {
+            high_col: warm.select("cell_id", "month", F.col(high_col).alias("value")),
+            low_col: warm.select("cell_id", "month", F.col(low_col).alias("value")),
+            "precipitation": max_precipitation_daily(rain),
+            "drought": drought_interpolate(consecutive_dry_days(rain)),
+            "wind": monthly_frequency(wind_days_above(wp, reference=reference)),
+        }
+
+    return make
+
+
 def calculate_index(
     hourly: DataFrame,
     obs: DataFrame,
@@ -89,14 +130,16 @@ def calculate_index(
     folder: str | None = None,
     computed: bool = False,
     strict: bool = True,
-    kernel: str = "native",
+    kernel: str = "pandas",
     engine: str = "base",
 ) -> DataFrame:
     """The index from hourly cubes and gauge records.
 
     ``admin_weights`` (with ``admin_stations`` and ``admin_alpha``) gives a row per unit and
     period, ``area`` one per period, neither one per cell and period.  ``folder`` keeps the raw
-    components as Parquet and ``computed`` starts from them.  Coarser periods are means of
+    components as Parquet and ``computed`` starts from them.  The hours are read twice at most
+    (see ``raw_components``).  ``hourly`` may come from any source with the columns of
+    ``schema.CLIMATE_HOURLY``, prepared Parquet cubes among them.  Coarser periods are means of
     the monthly rows, column by column.
     """
     check_engine(engine)
@@ -105,17 +148,17 @@ def calculate_index(
         raise ValueError("units need admin_stations and admin_alpha")
     if computed and folder is None:
         raise ValueError("computed components need their folder")
+    require(hourly, "cell_id", "ts", "t2m", "tp", "u10", "v10")
+    require(obs, "station_id", "month", "level")
     high_col, low_col = f"t{int(percentile_high)}", f"t{int(percentile_low)}"
     saved = Saved(folder, study, computed) if folder else None
-    how = {"reference": reference, "cells": cells, "threshold": threshold, "saved": saved, "engine": engine}
-    how |= {"weights": admin_weights} if admin else {"area": area}
-    t = hourly.select("cell_id", "ts", "t2m")
-    tp = hourly.select("cell_id", "ts", "tp")
-    high = temperature_component(t, percentile=percentile_high, extremum="max", above=True, kernel=kernel, **how)
-    low = temperature_component(t, percentile=percentile_low, extremum="min", above=False, kernel=kernel, **how)
-    rain = precipitation_component(tp, **how)
-    dry = drought_component(tp, **how)
-    wind = wind_component(hourly.select("cell_id", "ts", "u10", "v10"), **how)
+    raws = raw_components(hourly, cells, threshold, reference=reference, percentile_high=percentile_high, percentile_low=percentile_low, high_col=high_col, low_col=low_col, kernel=kernel)
+
+    def component(label: str) -> DataFrame:
+        raw = _raw(label, lambda: raws()[label], saved, hourly.sparkSession)
+        return finish(raw, reference=reference, area=area, weights=admin_weights, cells=cells, out=label)
+
+    high, low, rain, dry, wind = (component(label) for label in (high_col, low_col, *GRIDDED))
     values = [high_col, low_col, *GRIDDED, "sealevel", "aci"]
     if admin:
         level = sealevel_component(obs, reference=reference, study=study, admin_stations=admin_stations, units=admin_alpha, saved=saved)
@@ -135,9 +178,3 @@ def calculate_index(
 def wide_by_unit(index: DataFrame, units: list[str], values: list[str]) -> DataFrame:
     """One row per period, columns ``<value>_<unit>``: for the edge of the API only."""
     return index.groupBy("period").agg(*[F.max(F.when(F.col("unit") == u, F.col(v))).alias(f"{v}_{u}") for u in units for v in values]).orderBy("period")
-
-
-def first_periods(index: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` periods of each cell, in the order of their labels."""
-    w = Window.partitionBy("cell_id").orderBy("period")
-    return index.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")

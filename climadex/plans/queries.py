@@ -90,6 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mask_cells": lambda s, d: rounded(mask.apply_mask(resample.resample_daily(td.hourly(s, d), "t2m", "mean", out="value"), td.grid_cells(s, d), values=["value"], threshold=td.THRESHOLD)),
     "mask_drop_and_rejoin": lambda s, d: rounded(mask.all_cells(_precip(mask.apply_mask(td.hourly(s, d), td.grid_cells(s, d), values=[], threshold=td.THRESHOLD, drop=True)), td.grid_cells(s, d)), 10),
     "time_resolution": lambda s, d: describe_times(td.hourly(s, d)),
+    "time_resolution_daily": lambda s, d: describe_times(resample.resample_daily(td.hourly(s, d), "t2m").withColumn("ts", F.col("day").cast("timestamp_ntz"))),
+    "daily_table": _hourly(frequency.daily_table, 10),
+    "temp_percentiles_native": _hourly(lambda h: rolling.percentile_thresholds(h, percentile=10, reference=REF, part="night", kernel="native")),
+    "plot_density": lambda s, d: rounded(plots.density(national(s, d, "month"), components=["wind"], include_index=False, points=16)),
     "union_along_time": lambda s, d: td.hourly(s, d).where("ts < '1998-01-01'").unionByName(td.hourly(s, d).where("ts >= '1998-01-01'")).groupBy("cell_id", F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n")),
     "gauge_dates": _gauge_dates,
     "sealevel_clean": lambda s, d: rounded(sealevel.clean(td.sealevel_obs(s, d)), 8),
@@ -250,6 +254,7 @@ ORACLE_SQL: dict[str, str] = {
     "precip_max_5d": _sql(f"SELECT cell_id, month, {_r('value', None, 10)} FROM rain"),
     **{f"temp_percentiles_{p}": _sql(f"SELECT cell_id, doy, {_r('thr')} FROM {p}90") for p in ("day", "night")},
     "temp_percentiles_kernel": _sql(f"SELECT cell_id, doy, {_r('thr')} FROM night90"),
+    "temp_percentiles_native": _sql(f"SELECT cell_id, doy, {_r('thr')} FROM night10"),
     "halfday_frequency_hot": _sql(f"SELECT cell_id, month, {_r('value')} FROM hot_day"),
     "halfday_frequency_cold": _sql(f"SELECT cell_id, month, {_r('value')} FROM cold_night"),
     "temperature_t90": _sql(f"SELECT cell_id, month, {_r('value', 't90')} FROM hot_z"),
@@ -267,7 +272,19 @@ ORACLE_SQL: dict[str, str] = {
     "admin_weighted_mean": _sql(f"SELECT unit, month, {_r('value')} FROM rain_unit"),
     "mask_cells": _sql(f"SELECT cell_id, day, {_r(f'CASE WHEN land_frac >= {td.THRESHOLD} THEN v END', 'value')} FROM (SELECT cell_id, CAST(ts AS DATE) AS day, avg(t2m) AS v FROM hourly GROUP BY 1, 2) LEFT JOIN cells USING (cell_id)"),
     "mask_drop_and_rejoin": _sql(f"SELECT c.cell_id, m.month, {_r('x.value', 'value', 10)} FROM cells c CROSS JOIN (SELECT DISTINCT month FROM rain WHERE cell_id IN (SELECT cell_id FROM kept)) m LEFT JOIN (SELECT * FROM rain WHERE cell_id IN (SELECT cell_id FROM kept)) x ON x.cell_id = c.cell_id AND x.month = m.month"),
-    "time_resolution": _sql("SELECT count(*) AS n_steps, min(ts) AS start, max(ts) AS \"end\", mode(h) AS step_hours FROM (SELECT ts, (epoch(ts) - epoch(lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts))) / 3600.0 AS h FROM (SELECT DISTINCT ts FROM hourly))"),
+    **{
+        name: _sql(f"SELECT n_steps, start, \"end\", (epoch(second) - epoch(start)) / 3600.0 AS step_hours FROM (SELECT count(*) AS n_steps, min(ts) AS start, max(ts) AS \"end\", list_sort(list(ts))[2] AS second FROM (SELECT DISTINCT {ts} AS ts FROM hourly))")
+        for name, ts in (("time_resolution", "ts"), ("time_resolution_daily", "CAST(date_trunc('day', ts) AS TIMESTAMP)"))
+    },
+    "daily_table": _sql(
+        "SELECT cell_id, CAST(ts AS DATE) AS day, "
+        + ", ".join(f"count(*) FILTER ({c}) AS {p}_n, {_r(f'max(t2m) FILTER ({c})', p + '_max', 10)}, {_r(f'min(t2m) FILTER ({c})', p + '_min', 10)}" for p, c in (("day", "hour(ts) BETWEEN 6 AND 21"), ("night", "hour(ts) NOT BETWEEN 6 AND 21")))
+        + f", {_r('sum(tp)', 'tp', 10)}, {_r('avg(u10)', 'u', 10)}, {_r('avg(v10)', 'v', 10)} FROM hourly GROUP BY ALL"
+    ),
+    "plot_density": _sql(
+        "SELECT component, "
+        + f"{_r('x')}, {_r('sum(exp(-0.5 * pow((x - wind) / h, 2)) / (n * h * sqrt(2 * pi())))', 'density')} FROM (SELECT 'wind' AS component, wind, n, h, k, low + (high - low) * k / 15 AS x FROM national, (SELECT count(wind) AS n, min(wind) AS low, max(wind) AS high, 0.9 * least(stddev_samp(wind), (quantile_cont(wind, 0.75) - quantile_cont(wind, 0.25)) / 1.34) * pow(count(wind), -0.2) AS h FROM national), (SELECT unnest(range(16)) AS k) WHERE wind IS NOT NULL) GROUP BY component, k, x"
+    ),
     "union_along_time": _sql("SELECT cell_id, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM hourly GROUP BY 1, 2"),
     "gauge_dates": "SELECT CAST(n_nationkey AS INTEGER) AS station_id, t AS text, make_date(CAST(substr(t, 1, 4) AS INTEGER), m, 1) AS month FROM (SELECT n_nationkey, '20' || lpad(CAST((n_nationkey % 12) * 3 AS VARCHAR), 2, '0') || ['.0417', '.1250', '.2083', '', '.5', '.9583', '.875'][n_nationkey % 7 + 1] AS t, [1, 2, 3, 1, NULL, 12, 11][n_nationkey % 7 + 1] AS m FROM nation)",
     "sealevel_clean": _sql(f"SELECT station_id, month, {_r('level', None, 8)} FROM obs"),

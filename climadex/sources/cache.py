@@ -65,4 +65,4 @@ def load(spark: SparkSession, folder: str, label: str, study: tuple[str, str]) -
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        raise FileNotFoundError(f"no saved component at {path}; run with save=True first") from e
+        raise FileNotFoundError(f"{path} holds no component; compute it once with this folder") from e

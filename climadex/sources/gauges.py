@@ -13,8 +13,13 @@ REQUIRED = ("ID", "Country", "Lat.", "Lon.")
 def load_gauges(spark: SparkSession, directory: str) -> DataFrame:
     """(station_id, month, level) of all ``<id>.txt`` files: ``date;level;flag;flag``, no header.
 
-    Rows of a date that names no month are left out; the sentinel is still there.
+    Rows of a date that names no month are left out; the sentinel is still there.  A folder
+    without such a file is an error.
     """
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory.rstrip("/") + "/*.txt")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise FileNotFoundError(f"no gauge record (.txt) in {directory}")
     raw = (
         spark.read.schema("date string, level string, flag1 string, flag2 string")
         .option("sep", ";")

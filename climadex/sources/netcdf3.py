@@ -246,15 +246,19 @@ def load_component(spark: SparkSession, path: str | list[str], variable: str, *,
 
 
 def describe_times(cube: DataFrame) -> DataFrame:
-    """(n_steps, start, end, step_hours): number of time steps, their ends, the commonest step."""
-    from pyspark.sql import Window
+    """(n_steps, start, end, step_hours): number of time steps, their ends, the step between the first two.
 
+    The step is NULL for a single time.
+    """
     steps = cube.select("ts").distinct()
-    # Differences within a day and to the previous day's last step: no global window.
-    day = steps.withColumn("day", F.to_date("ts"))
-    w = Window.partitionBy("day").orderBy("ts")
-    gaps = day.withColumn("h", (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(w).cast("timestamp"))) / 3600.0)
-    return gaps.agg(F.count(F.lit(1)).alias("n_steps"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.mode("h").alias("step_hours"))
+    # Minimum, and minimum of the rest: aggregates only, whatever the step.
+    ends = steps.agg(F.count(F.lit(1)).alias("n_steps"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    second = steps.join(steps.agg(F.min("ts").alias("first")), F.col("ts") > F.col("first")).agg(F.min("ts").alias("second"))
+
+    def seconds(c: str):
+        return F.unix_timestamp(F.col(c).cast("timestamp"))
+
+    return ends.join(second).withColumn("step_hours", (seconds("second") - seconds("start")) / 3600.0).drop("second")
 
 
 def write_netcdf3(path: str, lon, lat, values, *, variable: str, hours=None, origin: str = "1900-01-01 00:00:00") -> None:

@@ -180,13 +180,13 @@ def test_plot_frames(spark):
     assert plots.components(df, components=["wind", "t95"]).count() == 24
     with pytest.raises(ValueError, match="unknown"):
         plots.components(df, components=["rain"])
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="no wind"):
         plots.components(df.drop("wind"))
     box = {r["component"]: r for r in plots.distribution(df).collect()}
     assert (box["t95"]["q50"], box["drought"]["n"], box["aci"]["n"]) == (5.5, 11, 11)
     smooth = plots.smoothed(df, span=0.8)
     assert smooth["trend"].notna().sum() == 11
-    assert list(plots.dashboard(df)) == ["timeseries", "components", "distribution", "lines"]
+    assert list(plots.dashboard(df)) == ["timeseries", "components", "distribution", "density"]
     x = np.linspace(0, 1, 30)
     assert plots.loess(x, 2 + 3 * x, 0.3) == pytest.approx(2 + 3 * x)
 
@@ -234,3 +234,61 @@ def test_entry_has_rows_or_a_schema(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "period" and df.count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_steps_are_those_between_the_first_two_times(spark):
+    def step(*times):
+        return netcdf3.describe_times(spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz")).first()["step_hours"]
+
+    first = datetime(2000, 1, 1)
+    assert step(first, first + timedelta(days=1), first + timedelta(days=2), first) == 24
+    assert step(datetime(2000, 1, 1, 23), datetime(2000, 1, 2, 2), datetime(2000, 1, 2, 3)) == 3
+    assert step(first) is None
+
+
+def test_the_index_reads_the_hours_twice(spark, tmp_path):
+    """One scan for the daily table, one of the reference period for all thresholds."""
+    from climadex.plans import testdata as td
+
+    path = str(tmp_path / "hours")
+    td.hourly(spark, DATA).write.parquet(path)
+    hours = spark.read.parquet(path)
+    spark.catalog.clearCache()
+    out = index.calculate_index(hours, td.sealevel_obs(spark, DATA), reference=td.REFERENCE, study=td.STUDY, granularity="year")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    direct = plan.split("InMemoryRelation")[0].count("/hours") + sum(1 for leaf in _leaves(out) if leaf.startswith("Relation") and "t2m" in leaf)
+    cached = {leaf for leaf in _leaves(out) if leaf.startswith("InMemoryRelation")}
+    assert direct <= 2 and cached and all("day_max" in leaf for leaf in cached)
+    native = index.calculate_index(hours, td.sealevel_obs(spark, DATA), reference=td.REFERENCE, study=td.STUDY, granularity="year", kernel="native")
+    assert sorted(map(tuple, out.select("period", F.round("aci", 9)).collect())) == sorted(map(tuple, native.select("period", F.round("aci", 9)).collect()))
+    spark.catalog.clearCache()
+
+
+def _leaves(df):
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [leaves.apply(i).toString().strip() for i in range(leaves.size())]
+
+
+def test_gauges_without_files_and_units_without_gauges_are_errors(spark, tmp_path):
+    from climadex.operators import mask
+
+    with pytest.raises(FileNotFoundError):
+        gauges.load_gauges(spark, str(tmp_path))
+    units = spark.createDataFrame([("A", 0.0, 50.0), ("B", 10.0, 50.0), ("C", 20.0, 50.0)], "unit string, lon double, lat double")
+    stations = spark.createDataFrame([(1, 1.0, 50.0), (2, 11.0, 51.0), (3, 9.0, 50.0)], "station_id int, lon double, lat double")
+    coast = spark.createDataFrame([("A", 0.5), ("B", 1.0)], "unit string, alpha double")
+    dealt, alpha = mask.assign_stations(stations, units, coast)
+    assert sorted(map(tuple, dealt.collect())) == [("A", 1), ("B", 2), ("B", 3)]
+    assert dict(map(tuple, alpha.collect())) == {"A": 0.5, "B": 1.0, "C": 0.0}
+    with pytest.raises(ValueError, match="C"):
+        mask.assign_stations(stations, units, spark.createDataFrame([("C", 0.1)], "unit string, alpha double"))
+
+
+def test_density_sums_to_one(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"{1990 + i // 12}-{i % 12 + 1:02d}", *map(float, rng.normal(size=7))) for i in range(60)]
+    df = spark.createDataFrame(rows, "period string, t90 double, t10 double, precipitation double, drought double, wind double, sealevel double, aci double")
+    got = plots.dashboard(df)["density"].toPandas()
+    for _, part in got.groupby("component"):
+        part = part.sort_values("x")
+        assert len(part) == 64 and 0.8 < np.trapezoid(part["density"], part["x"]) <= 1.0
