@@ -1,10 +1,12 @@
 """Token counts from pre-token frequencies; ids are never made for a document.
 
-Per slice of documents: the pre-token frequencies of each document, the distinct
-pre-tokens of the slice, the pieces of those not counted before (each once, kept in a
-bounded table of the worker), and the sum of frequency times pieces.  The join of
-frequencies with the table of counts is local to the task.  A join by shuffle would send
-a row for each document and distinct pre-token, several times the input's size.
+1. One scan gives the distinct pre-tokens with the number of documents that hold them; each
+   task sums its own first.  The pieces of each distinct pre-token are counted once.
+2. A second scan gives the pre-token frequencies of each document.  They are joined to the
+   table of counts: pre-tokens of many documents, a number of them that is bounded, by a
+   broadcast part of it, so their frequencies never leave the task; the others by a shuffle,
+   in which no key is hot.
+3. Frequency times pieces is summed per document.
 """
 
 from __future__ import annotations
@@ -12,37 +14,96 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, stored, texts_of
 from .tokens import default_path, piece_counter
 
+#: Pre-tokens that a task sums before it sends them on.
+HELD = 500_000
+#: Counts that are broadcast: those of the pre-tokens of most documents.
+BROADCAST_TOKENS = 1 << 18
 
-def count_tokens(docs: DataFrame, *, model_path: str | None = None, limit: int = 4096) -> DataFrame:
+
+def pre_token_pieces(docs: DataFrame, path: str) -> DataFrame:
+    """(token, n_docs, pieces) of each distinct pre-token."""
+
+    def sent(seen: Counter):
+        items = list(seen.items())
+        for i in range(0, len(items), 50_000):
+            part = items[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["token", "n_docs"])
+
+    def distinct(batches):
+        counter, seen = piece_counter(path), Counter()
+        for batch in slices(batches):
+            for text in texts_of(batch):
+                seen.update(set(counter.pre_tokens(text)))
+            if len(seen) > HELD:
+                yield from sent(seen)
+                seen = Counter()
+        yield from sent(seen)
+
+    def count(batches):
+        counter = piece_counter(path)
+        for batch in slices(batches, "token"):
+            tokens = batch.column("token").to_pylist()
+            counter.learn(set(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n_docs"), pa.array([counter.cache[t] for t in tokens], pa.int64())], ["token", "n_docs", "pieces"])
+
+    found = docs.select("text").mapInArrow(distinct, "token string, n_docs long").groupBy("token").agg(F.sum("n_docs").alias("n_docs"))
+    return found.mapInArrow(count, "token string, n_docs long, pieces long")
+
+
+def _common(pieces: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the pre-tokens of most documents, at most ``most`` of them, by powers of two."""
+    levels = {r["level"]: r["count"] for r in pieces.groupBy(F.floor(F.log2("n_docs")).alias("level")).count().collect()}
+    least, number = 64, 0
+    for level in sorted(levels, reverse=True):
+        number += levels[level]
+        if number > most:
+            break
+        least = level
+    return {r["token"]: r["pieces"] for r in pieces.where(F.col("n_docs") >= 1 << least).select("token", "pieces").collect()} if least < 64 else {}
+
+
+def count_tokens(docs: DataFrame, *, model_path: str | None = None, limit: int = 4096, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(doc_id, n_bytes, n_pre_tokens, n_tokens, over_limit), a row for each row of ``docs``.
 
     Null or empty texts have 0 tokens.  Other columns are left out.  Rows with the same
-    doc_id, or none, are counted each by itself; an empty table gives an empty result.
+    doc_id, or none, are counted each by itself; whole texts of any length are counted; an
+    empty table gives an empty result.  Counts do not depend on ``broadcast_tokens``.
     """
     path = model_path or default_path("piece_bpe_32k.model")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = stored(pre_token_pieces(docs, path), "pieces")
+    common = docs.sparkSession.sparkContext.broadcast(_common(pieces, broadcast_tokens))
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "n_bytes": pa.int64(), "n_pre_tokens": pa.int64(), "known": pa.int64(), "token": pa.string(), "n": pa.int64()}
 
-    def count(batches):
-        counter = piece_counter(path)
+    def frequencies(batches):
+        counter, known = piece_counter(path), common.value
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            texts = texts_of(batch)
-            frequencies = [Counter(counter.pre_tokens(t)) for t in texts]
-            counter.learn(set().union(*frequencies))
-            pieces = counter.cache
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-                    pa.array([f.total() for f in frequencies], pa.int64()),
-                    pa.array([sum([n * pieces[w] for w, n in f.items()]) for f in frequencies], pa.int64()),
-                ],
-                ["doc_id", "n_bytes", "n_pre_tokens", "n_tokens"],
-            )
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_pre_tokens long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+            of_docs, of_tokens = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+                found = Counter(counter.pre_tokens(text))
+                total = 0
+                for t, n in found.items():
+                    if (p := known.get(t)) is not None:
+                        total += n * p
+                    else:
+                        of_tokens.append((row, None, None, None, None, t, n))
+                of_docs.append((row, doc, len(text.encode("utf-8", "surrogatepass")), found.total(), total, None, None))
+                row += 1
+            rows = of_docs + of_tokens
+            for i in range(0, len(rows), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 100_000]), kinds.values())], list(kinds))
+
+    # Written once: the numbers of rows stay what they are if a task runs again.
+    found = stored(docs.mapInArrow(frequencies, "row long, doc_id long, n_bytes long, n_pre_tokens long, known long, token string, n long"), "frequencies")
+    rest = found.where(F.col("n").isNotNull()).select("row", "token", "n").join(pieces.select("token", "pieces"), "token").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
+    out = found.where(F.col("n").isNull()).select("row", "doc_id", "n_bytes", "n_pre_tokens", "known").join(rest, "row", "left")
+    n_tokens = F.col("known") + F.coalesce("rest", F.lit(0))
+    return out.select("doc_id", "n_bytes", "n_pre_tokens", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))

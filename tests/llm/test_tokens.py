@@ -46,13 +46,46 @@ def test_cache_limit_changes_nothing(monkeypatch):
         assert small.encode(t) == BPE.encode(t)
 
 
-def test_count_tokens(spark):
+@pytest.mark.parametrize("how", [{}, {"broadcast_tokens": 0}, {"broadcast_tokens": 40}])
+def test_count_tokens(spark, how):
     data = brute.rows()
-    got = token_counts.count_tokens(brute.frame(spark, data), limit=100).collect()
+    got = token_counts.count_tokens(brute.frame(spark, data), limit=100, **how).collect()
     want = sorted(((r[0] is not None, r[0] or 0, len((r[1] or "").encode()), len(PIECES.model.encode(r[1] or ""))) for r in data))
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in got) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 100) for r in got)
-    assert token_counts.count_tokens(brute.frame(spark, [])).count() == 0
+    assert token_counts.count_tokens(brute.frame(spark, []), **how).count() == 0
+
+
+def test_each_pre_token_is_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD", 5)
+    docs = brute.frame(spark, brute.rows())
+    pieces = token_counts.pre_token_pieces(docs, default_path("piece_bpe_32k.model")).collect()
+    want = {}
+    for r in brute.rows():
+        for t in set(PIECES.pre_tokens(r[1] or "")):
+            want[t] = want.get(t, 0) + 1
+    assert {r["token"]: r["n_docs"] for r in pieces} == want and len(pieces) == len(want)
+
+
+def test_a_plan_is_found_soon_whatever_the_threads():
+    """The histogram of a small table, 200 sizes: without BLAS there is nothing to wait for."""
+    import time
+
+    rng = np.random.default_rng(2)
+    histogram = {int(s): int(n) for s, n in zip(*np.unique(np.minimum(rng.geometric(0.01, 1200), 256), return_counts=True))}
+    start = time.monotonic()
+    plan = packing.plan(histogram, 256)
+    assert time.monotonic() - start < 15
+    held = {}
+    for n, pattern in plan:
+        assert sum(s * c for s, c in pattern.items()) <= 256
+        for s, c in pattern.items():
+            held[s] = held.get(s, 0) + n * c
+    assert held == histogram
+    least = sum(s * n for s, n in histogram.items()) / 256
+    assert sum(n for n, _ in plan) <= 1.02 * least + 1
+    with pytest.warns(UserWarning, match="stopped"):
+        assert sum(n for n, _ in packing.plan(histogram, 256, most=3)) >= least
 
 
 def test_token_files_round_trip(spark):
