@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Learned models, a latent space and a linear program have no SQL; a brute-force version tests it.
+#: Learned models, a latent space and a linear program have no SQL; tests/llm/test_pipeline.py
+#: compares all rows with plain versions of the stages, one after the other.
 ORACLE_SQL = None

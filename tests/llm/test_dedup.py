@@ -148,6 +148,28 @@ def test_components_of_chains_and_hubs(spark):
     assert connected_components(links.where("false")).count() == 0
 
 
+def test_fingerprints_are_those_of_a_plain_walk(spark):
+    """The query's fingerprints against a walk that takes one character after the other."""
+    e = edit_embedding
+    data = [r for r in brute.rows() if len(r[1] or "") < 6000]
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    texts = [r[1] or "" for r in order]
+    edited = [t[: len(t) - len(t) // 4] + n[: len(t) // 4] for t, n in zip(texts, texts[1:] + texts[:1])]
+
+    def plain(text):
+        scale = max(1, 2 * len(text)).bit_length() - 1
+        slots = []
+        for k in (scale, scale + 1):
+            steps = [int(p) for p in e._sampled(k)]
+            got = brute.walk(text, e._MOVES, e._SYMBOL, e._classes, e.END, steps)
+            slots.append(got + [0] * (e.SAMPLES - len(got)))
+        return f"{scale:02x}" + "".join(f"{x:x}" for s in slots for x in s)
+
+    got = e.edited_fingerprints(brute.frame(spark, data)).collect()
+    want = sorted((r[0] is not None, r[0] or 0, plain(t), plain(n)) for r, t, n in zip(order, texts, edited))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["fingerprint"], r["edited_fingerprint"]) for r in got) == want
+
+
 def test_edited_fingerprints(spark):
     data = brute.rows()
     got = edit_embedding.edited_fingerprints(brute.frame(spark, data)).collect()
