@@ -46,7 +46,7 @@ def test_cache_limit_changes_nothing(monkeypatch):
         assert small.encode(t) == BPE.encode(t)
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_tokens": 0}, {"broadcast_tokens": 40}])
+@pytest.mark.parametrize("how", [{}, {"broadcast_tokens": 0}, {"broadcast_tokens": 40, "filter_bits": 1 << 12}])
 def test_count_tokens(spark, how):
     data = brute.rows()
     got = token_counts.count_tokens(brute.frame(spark, data), limit=100, **how).collect()
@@ -64,6 +64,7 @@ def test_each_pre_token_is_counted_once(spark, monkeypatch):
     for r in brute.rows():
         for t in set(PIECES.pre_tokens(r[1] or "")):
             want[t] = want.get(t, 0) + 1
+    want = {t: n for t, n in want.items() if n > 1}
     assert {r["token"]: r["n_docs"] for r in pieces} == want and len(pieces) == len(want)
 
 
