@@ -25,6 +25,8 @@ END = 255  # class of the position after a text
 SEED = 7
 #: Text walked at a time; the number of steps is that of its longest document.
 WALK_BYTES = 16 << 20
+#: Classes of a band bucket that one task compares; larger buckets are dealt over many tasks.
+LARGE = 8192
 
 _rng = np.random.default_rng(SEED)
 _MOVES = _rng.integers(0, 2, (PERIOD, 256)).astype(np.int64)
@@ -208,13 +210,29 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions("guard", "ord", "text").select("doc_id", "text", "guard").mapInArrow(run, schema)
 
 
-def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, width: int = 6) -> DataFrame:
+def _dealt(rows: DataFrame, large: int) -> DataFrame:
+    """``rows`` (key, fingerprint, rep) with columns i, j: a group (key, i, j) has about ``large`` rows at most.
+
+    A larger bucket is cut into parts by hash, and each pair of parts is a group.
+    """
+    sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large), "large-buckets")
+    if sizes.isEmpty():
+        return rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    parts = F.coalesce(F.ceil(F.col("n") / F.lit(max(1, large // 2))), F.lit(1)).cast("int")
+    cut = rows.join(sizes, "key", "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+    cut = cut.select("key", "fingerprint", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return cut.select("key", "fingerprint", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, width: int = 6, large: int = LARGE) -> DataFrame:
     """(doc_id, fingerprint, component_id): documents linked by fingerprints at least ``least`` alike.
 
     Equal fingerprints are one class.  Each band samples ``width`` positions of a scale;
     classes that agree there meet in a bucket, where the whole fingerprints are compared
-    (verification) and each member is linked to the root of its component.  A link is found
-    unless all bands miss it: at likeness 0.9 about 1 in 10**8.  Null doc_ids link nothing.
+    (verification) and each member is linked to the root of its component; pairs that are in
+    one component already are not compared again.  A link is found unless all bands miss it:
+    at likeness 0.9 about 1 in 10**8.  Buckets of more than ``large`` classes are dealt over
+    many tasks, part by part; results do not depend on it.  Null doc_ids link nothing.
     """
     rng = np.random.default_rng((SEED, 99))
     picks = [np.sort(rng.choice(SAMPLES, width, replace=False)) for _ in range(bands)]
@@ -244,8 +262,9 @@ def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, wid
             s, x = np.array([g[0] for g in got]), np.stack([g[1] for g in got])
             reps, labels = np.array(reps), np.arange(len(fps))
             for i in range(len(fps) - 1):
-                alike = _alike(np.full(len(fps) - i - 1, s[i]), np.broadcast_to(x[i], x[i + 1 :].shape), s[i + 1 :], x[i + 1 :]) >= least
-                roots = np.unique(np.r_[labels[i], labels[i + 1 :][alike]])
+                far = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+                alike = far[_alike(np.full(len(far), s[i]), np.broadcast_to(x[i], (len(far), *x.shape[1:])), s[far], x[far]) >= least]
+                roots = np.unique(np.r_[labels[i], labels[alike]])
                 if roots.size > 1:
                     labels[np.isin(labels, roots)] = roots[0]
             root = np.full(len(fps), np.iinfo(np.int64).max)
@@ -255,7 +274,7 @@ def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, wid
 
         now, fps, reps = None, [], []
         for batch in batches:
-            for key, fp, rep in zip(*(batch.column(c).to_pylist() for c in ("key", "fingerprint", "rep"))):
+            for fp, rep, *key in zip(*(batch.column(c).to_pylist() for c in ("fingerprint", "rep", "key", "i", "j"))):
                 if key != now:
                     if len(fps) > 1:
                         yield bucket(fps, reps)
@@ -265,8 +284,9 @@ def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, wid
         if len(fps) > 1:
             yield bucket(fps, reps)
 
-    rows = classes.mapInArrow(keys, "key string, fingerprint string, rep long")
-    found = rows.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(links, "a long, b long").distinct()
+    rows = _dealt(classes.mapInArrow(keys, "key string, fingerprint string, rep long"), large)
+    group = ["key", "i", "j"]
+    found = rows.repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(links, "a long, b long").distinct()
     parts = connected_components(found)
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return known.join(named, "fingerprint", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

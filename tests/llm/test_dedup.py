@@ -225,6 +225,24 @@ def test_edit_duplicates(spark):
     assert known >= 2
 
 
+def test_edit_duplicates_do_not_depend_on_the_size_of_buckets(spark):
+    rng = random.Random(5)
+    base = brute.prose(rng, 150)
+    texts = [brute.prose(rng, 150) for _ in range(10)]
+    texts += [base[:k] + "#" + base[k + 1 :] for k in range(5, 145, 4)] + texts[:4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = {r["doc_id"]: r["fingerprint"] for r in edit_embedding.fingerprints(docs).collect()}
+    want = {i: i for i in fps}
+    for i in want:
+        for j in range(i):
+            if want[i] != want[j] and edit_embedding.likeness(fps[i], fps[j]) >= 0.8:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert sum(v == 10 for v in want.values()) > 30  # one group, larger than a bucket below may be
+    for large in (8192, 6):
+        assert {r["doc_id"]: r["component_id"] for r in edit_embedding.edit_duplicates(docs, large=large).collect()} == want
+
+
 def test_an_appended_half_is_unequal(spark):
     rng = random.Random(17)
     for n in (100, 1000, 9000):
