@@ -28,20 +28,41 @@ def all_cells(metric: DataFrame, cells: DataFrame, *, time: str = "month") -> Da
     return frame.join(metric, ["cell_id", time], "left")
 
 
+#: Tiles, in degrees, in which the nearest mask point is looked for: coarser ones where the
+#: finer ones cannot be sure of it.  Each divides 360; the last reaches everywhere.
+TILES = (1, 15, 180)
+
+
 def nearest_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    """Land fraction of each cell from the nearest point of a mask of other geometry.
+    """Land fraction of each cell from the nearest point of a mask of any other geometry.
 
-    ``mask`` has (lon, lat, land_frac).  Candidates come from a one-degree grid around the
-    cell, so the join is on keys; the mask is expected at two degrees or finer.
+    ``mask`` has (lon, lat, land_frac); distances are planar in degrees, longitudes go round
+    at 360.  Candidates come from the tiles around the cell, so the join is on keys: two tiles
+    to each side are sure of a point up to two tiles away, and only cells without such a point
+    are looked up again in coarser tiles.  Of points equally near the least (lon, lat) counts.
     """
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2)])
-    own = cells.select("cell_id", "lon", "lat", F.explode(shifts).alias("s")).select(
-        "cell_id", "lon", "lat", (F.floor("lon") + F.col("s.i")).alias("gx"), (F.floor("lat") + F.col("s.j")).alias("gy")
-    )
-    there = mask.select(F.col("lon").alias("mlon"), F.col("lat").alias("mlat"), F.col("land_frac"), F.floor("lon").alias("gx"), F.floor("lat").alias("gy"))
-    near = own.join(there, ["gx", "gy"]).withColumn("d", F.pow(F.col("lon") - F.col("mlon"), 2) + F.pow(F.col("lat") - F.col("mlat"), 2))
-    best = near.groupBy("cell_id").agg(F.min_by("land_frac", F.struct("d", "mlon", "mlat")).alias("land_frac"))
-    return cells.drop("land_frac").join(best, "cell_id", "left")
+    points = mask.select(F.col("lon").alias("mlon"), F.col("lat").alias("mlat"), F.col("land_frac").alias("mfrac")).where(F.col("mlon").isNotNull() & F.col("mlat").isNotNull())
+    best = F.struct(F.lit(None).cast("double").alias("d"), F.lit(None).cast("double").alias("mlon"), F.lit(None).cast("double").alias("mlat"), F.lit(None).cast("double").alias("mfrac"))
+    state = cells.select("cell_id", "lon", "lat", F.when(F.lit(False), best).alias("best"))
+    sure = 0
+
+    def across(lon, size):
+        return F.pmod(F.floor(lon / size), F.lit(360 // size))
+
+    for size in TILES:
+        around = F.array_distinct(
+            F.array(*[F.struct(across(F.col("lon") + F.lit(i * size), size).alias("gx"), (F.floor(F.col("lat") / size) + j).alias("gy")) for i in range(-2, 3) for j in range(-2, 3)])
+        )
+        open_ = F.col("best").isNull() | (F.col("best.d") > sure**2)
+        own = state.select("cell_id", "lon", "lat", "best", F.explode_outer(F.when(open_, around)).alias("g")).select("cell_id", "lon", "lat", "best", "g.gx", "g.gy")
+        there = points.select("*", across(F.col("mlon"), size).alias("gx"), F.floor(F.col("mlat") / size).alias("gy"))
+        dx = F.pmod(F.abs(F.col("lon") - F.col("mlon")), F.lit(360.0))
+        d = F.pow(F.least(dx, 360.0 - dx), 2) + F.pow(F.col("lat") - F.col("mlat"), 2)
+        found = F.when(d.isNotNull(), F.struct(d.alias("d"), F.col("mlon").cast("double").alias("mlon"), F.col("mlat").cast("double").alias("mlat"), F.col("mfrac").cast("double").alias("mfrac")))
+        near = own.join(there, ["gx", "gy"], "left").select("cell_id", "lon", "lat", F.least("best", found).alias("best"))
+        state = near.groupBy("cell_id", "lon", "lat").agg(F.min("best").alias("best"))
+        sure = 2 * size
+    return cells.drop("land_frac").join(state.select("cell_id", F.col("best.mfrac").alias("land_frac")), "cell_id", "left")
 
 
 def nearest_unit(stations: DataFrame, units: DataFrame) -> DataFrame:

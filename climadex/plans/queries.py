@@ -104,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "idw_sealevel": lambda s, d: rounded(sealevel.interpolate(_anomalies(s, d), td.grid_cells(s, d), td.stations(s, d))),
     "idw_sealevel_150km": lambda s, d: rounded(sealevel.interpolate(_anomalies(s, d), td.grid_cells(s, d), td.stations(s, d), max_dist_km=150)),
     "nearest_unit": lambda s, d: mask.nearest_unit(td.stations(s, d), td.grid_cells(s, d).select(F.concat(F.lit("C"), F.col("cell_id").cast("string")).alias("unit"), "lon", "lat")),
+    "nearest_mask": lambda s, d: rounded(mask.nearest_mask(td.grid_cells(s, d), td.mask_points(s, d)).select("cell_id", "land_frac")),
+    "polygon_weights": lambda s, d: rounded(spatial.build_admin_weights(td.grid_cells(s, d), td.unit_boxes(s, d), half_width=1.5)),
     "bbox_margin": lambda s, d: rounded(spatial.bbox_with_margin(td.grid_cells(s, d))),
     "label_dates": _label_dates,
     "index_national_month": lambda s, d: rounded(national(s, d, "month")),
@@ -295,6 +297,12 @@ ORACLE_SQL: dict[str, str] = {
     "idw_sealevel": _sql(f"SELECT cell_id, month, {_r('value')} FROM sea_grid"),
     "idw_sealevel_150km": _sql(f"SELECT cell_id, month, {_r('value')} FROM sea_grid", reach=150),
     "nearest_unit": _sql("SELECT station_id, arg_min('C' || cell_id, d) AS unit FROM dist GROUP BY 1"),
+    "nearest_mask": _sql(
+        f"SELECT cell_id, {_r('f', 'land_frac')} FROM (SELECT cell_id, station_id / 24.0 AS f, row_number() OVER (PARTITION BY cell_id ORDER BY pow(c.lon - s.lon, 2) + pow(c.lat - s.lat, 2), s.lon, s.lat) AS n FROM cells c CROSS JOIN stations s) WHERE n = 1"
+    ),
+    "polygon_weights": _sql(
+        f"SELECT cell_id, unit, {_r('least(sum(w), 1.0)', 'w')} FROM (SELECT cell_id, 'U' || (station_id % 3) AS unit, greatest(least(c.lon, s.lon) + 1.5 - (greatest(c.lon, s.lon) - 1.5), 0) * greatest(least(c.lat + 1.5, s.lat + 1) - greatest(c.lat - 1.5, s.lat - 1), 0) / 9.0 AS w FROM cells c CROSS JOIN stations s) WHERE w > 0 GROUP BY ALL"
+    ),
     "bbox_margin": _sql(f"SELECT {_r('min(lon) - 0.05 * (max(lon) - min(lon))', 'lon_min')}, {_r('max(lon) + 0.05 * (max(lon) - min(lon))', 'lon_max')}, {_r('min(lat) - 0.05 * (max(lat) - min(lat))', 'lat_min')}, {_r('max(lat) + 0.05 * (max(lat) - min(lat))', 'lat_max')} FROM cells"),
     "label_dates": _sql(
         "SELECT DISTINCT granularity, period, date FROM (SELECT unnest([{'granularity': 'month', 'period': "

@@ -67,3 +67,18 @@ def sealevel_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.groupBy(F.col("c_nationkey").cast("int").alias("station_id"), month.alias("month")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("level"))
     gap = (F.year("month") * 12 + F.month("month") + F.col("station_id")) % 29 == 0
     return out.withColumn("level", F.when(gap, -99999.0).otherwise(F.col("level")))
+
+
+def mask_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coarse mask of a point per nation."""
+    return stations(spark, sf_dir).select("lon", "lat", (F.col("station_id") / 24.0).alias("land_frac"))
+
+
+def unit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box of three by two degrees around each station, dealt to three units."""
+
+    def corner(x, y):
+        return F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
+
+    ring = F.array(corner(-1.5, -1.0), corner(1.5, -1.0), corner(1.5, 1.0), corner(-1.5, 1.0))
+    return stations(spark, sf_dir).select(F.concat(F.lit("U"), (F.col("station_id") % 3).cast("string")).alias("unit"), ring.alias("ring"))

@@ -1,6 +1,7 @@
 """Hand-computed values and traps of the climate operators."""
 
 import math
+import random
 from datetime import date, datetime, timedelta
 
 import numpy as np
@@ -249,6 +250,26 @@ def test_mask(spark):
     assert column(mask.all_cells(dropped, cells, time="day"), "value", "cell_id") == [1, 1, None, None]
 
 
+def test_nearest_mask_of_any_geometry(spark):
+    rng = random.Random(3)
+    places = [(i, rng.uniform(-180, 180), rng.uniform(-90, 90)) for i in range(60)] + [(60, 179.9, 10.0), (61, 359.5, 0.0), (62, None, 3.0)]
+    points = [(rng.uniform(-180, 180), rng.uniform(-90, 90), rng.random()) for _ in range(12)] + [(-179.9, 10.2, 0.7), (0.1, 0.1, 0.3), (10.0, 20.0, 0.5), (10.0, 20.0, 0.6)]
+
+    def nearest(lon, lat):
+        def far(p):
+            dx = abs(lon - p[0]) % 360
+            return min(dx, 360 - dx) ** 2 + (lat - p[1]) ** 2, *p
+
+        return min(points, key=far)[2]
+
+    cells = spark.createDataFrame(places, "cell_id int, lon double, lat double")
+    mask_points = spark.createDataFrame(points, "lon double, lat double, land_frac double")
+    want = [nearest(x, y) for _, x, y in places[:-1]] + [None]
+    assert want[60] == 0.7 and want[61] == 0.3
+    assert column(mask.nearest_mask(cells, mask_points), "land_frac", "cell_id") == want
+    assert column(mask.nearest_mask(cells, mask_points.where("lon > 999")), "land_frac", "cell_id") == [None] * len(places)
+
+
 def test_nearest(spark):
     cells = spark.createDataFrame([(0, 0.1, 45.0), (1, 1.9, 45.0)], "cell_id int, lon double, lat double")
     points = spark.createDataFrame([(0.0, 45.0, 0.2), (2.0, 45.2, 0.9)], "lon double, lat double, land_frac double")
