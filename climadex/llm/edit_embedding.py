@@ -232,7 +232,9 @@ def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, wid
     (verification) and each member is linked to the root of its component; pairs that are in
     one component already are not compared again.  A link is found unless all bands miss it:
     at likeness 0.9 about 1 in 10**8.  Buckets of more than ``large`` classes are dealt over
-    many tasks, part by part; results do not depend on it.  Null doc_ids link nothing.
+    many tasks, part by part; results do not depend on it.  Null doc_ids link nothing and have
+    a null component; rows that repeat a doc_id are one document in the links.  An empty table
+    gives an empty result.
     """
     rng = np.random.default_rng((SEED, 99))
     picks = [np.sort(rng.choice(SAMPLES, width, replace=False)) for _ in range(bands)]
@@ -287,6 +289,9 @@ def edit_duplicates(docs: DataFrame, *, least: float = 0.8, bands: int = 24, wid
     rows = _dealt(classes.mapInArrow(keys, "key string, fingerprint string, rep long"), large)
     group = ["key", "i", "j"]
     found = rows.repartition(partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(links, "a long, b long").distinct()
-    parts = connected_components(found)
+    # A doc_id on rows of different texts links their classes.
+    own = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    twice = known.join(own, "doc_id").join(classes, "fingerprint").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = connected_components(found.unionByName(twice))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fingerprint", F.coalesce("component", "rep").alias("component_id"))
     return known.join(named, "fingerprint", "left").select("doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -221,6 +221,11 @@ def test_edit_duplicates(spark):
     got = {r["doc_id"]: r["component_id"] for r in edit_embedding.edit_duplicates(docs).collect()}
     assert all(got[30 + i] == i for i in range(10)) and got[40] == 3 and got[41] == got[42] == 41
     assert all(got[i] == i for i in range(30))
+    # Rows of one doc_id, of a null one, and none at all.
+    more = docs.unionByName(spark.createDataFrame([(5, texts[7]), (None, texts[5])], docs.schema))
+    again = {(r["doc_id"], r["component_id"]) for r in edit_embedding.edit_duplicates(more).collect()}
+    assert {(5, 5), (7, 5), (35, 5), (37, 5), (6, 6), (None, None)} <= again and len(again) == len(texts) + 1
+    assert edit_embedding.edit_duplicates(docs.where("doc_id < 0")).count() == 0
     known = edit_embedding.fingerprints(docs).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").count()
     assert known >= 2
 
