@@ -15,8 +15,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = edit_embedding.edited_fingerprints(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    out = edit_embedding.edited_fingerprints(table(spark, sf_dir, "documents"), least=0.8)
+    return out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

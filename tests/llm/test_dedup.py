@@ -225,7 +225,10 @@ def test_edit_duplicates(spark):
     more = docs.unionByName(spark.createDataFrame([(5, texts[7]), (None, texts[5])], docs.schema))
     again = {(r["doc_id"], r["component_id"]) for r in edit_embedding.edit_duplicates(more).collect()}
     assert {(5, 5), (7, 5), (35, 5), (37, 5), (6, 6), (None, None)} <= again and len(again) == len(texts) + 1
+    rows = edit_embedding.edited_fingerprints(more, least=0.8).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == again and len(rows) == len(texts) + 2
     assert edit_embedding.edit_duplicates(docs.where("doc_id < 0")).count() == 0
+    assert edit_embedding.edited_fingerprints(docs.where("doc_id < 0"), least=0.8).count() == 0
     known = edit_embedding.fingerprints(docs).groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").count()
     assert known >= 2
 
@@ -244,6 +247,8 @@ def test_edit_duplicates_do_not_depend_on_the_size_of_buckets(spark):
                 low, high = sorted((want[i], want[j]))
                 want = {k: low if v == high else v for k, v in want.items()}
     assert sum(v == 10 for v in want.values()) > 30  # one group, larger than a bucket below may be
+    told = edit_embedding.edited_fingerprints(docs, least=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in told} == want
     for large in (8192, 6):
         assert {r["doc_id"]: r["component_id"] for r in edit_embedding.edit_duplicates(docs, large=large).collect()} == want
 
