@@ -99,9 +99,10 @@ def sealevel_component(obs, *, reference, study, area=True, cells=None, stations
     """(month, sealevel), (unit, month, sealevel) or, without ``area``, (cell_id, month, sealevel).
 
     Units win over ``area``: with ``admin_stations`` the result is per unit.  What is saved
-    is the standardised record, so a changed reference period needs a new computation.
+    is the cleaned record, which any reference period may standardise.
     """
-    anomalies = _raw("sealevel", lambda: standardize_gauges(clean(obs), reference=reference, study=study), saved, obs.sparkSession)
+    record = _raw("sealevel", lambda: clean(obs), saved, obs.sparkSession)
+    anomalies = standardize_gauges(record, reference=reference, study=study)
     if admin_stations is not None:
         return region_mean(anomalies, admin_stations=admin_stations, units=units)
     if area:

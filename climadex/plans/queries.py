@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import gauge_month, label_date
 from ..operators import drought, frequency, mask, resample, rolling, sealevel, spatial, standardize
+from ..sources.gauges import load_gauges
 from ..sources.netcdf3 import describe_times
+from ..streaming import daily
 from . import components, index, plots
 from . import testdata as td
 
@@ -56,6 +58,29 @@ def _gauge_dates(spark: SparkSession, d: str) -> DataFrame:
     return td._t(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("station_id"), text.alias("text"), gauge_month(text).alias("month"))
 
 
+def _precipitation_saved(spark: SparkSession, d: str) -> DataFrame:
+    """The component out of what a first call with another reference period has kept of the rain."""
+    folder, h = td.shared_folder(spark), td.hourly(spark, d)
+    components.precipitation_component(h, reference=STUDY, saved=components.Saved(folder, STUDY))
+    return components.precipitation_component(h.limit(0), reference=REF, saved=components.Saved(folder, STUDY, computed=True))
+
+
+def _sealevel_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Sea level of the reference period out of a record kept under another one."""
+    folder, obs = td.shared_folder(spark), td.sealevel_obs(spark, d)
+    components.sealevel_component(obs, reference=STUDY, study=STUDY, saved=components.Saved(folder, STUDY))
+    return components.sealevel_component(obs.limit(0), reference=REF, study=STUDY, saved=components.Saved(folder, STUDY, computed=True))
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """Days that a stream over the hours has closed: those that end a day before the last hour."""
+    folder = td.shared_folder(spark)
+    td.hourly(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(8).write.parquet(f"{folder}/in")
+    days = daily.daily_stream(daily.read_hourly(spark, f"{folder}/in"), "t2m", "mean")
+    daily.write_daily(days, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def _label_dates(spark: SparkSession, d: str) -> DataFrame:
     months = td.hourly(spark, d).select(F.trunc("ts", "month").alias("month")).distinct()
     from ..functions.dates import period_label
@@ -97,6 +122,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_along_time": lambda s, d: td.hourly(s, d).where("ts < '1998-01-01'").unionByName(td.hourly(s, d).where("ts >= '1998-01-01'")).groupBy("cell_id", F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n")),
     "gauge_dates": _gauge_dates,
     "sealevel_clean": lambda s, d: rounded(sealevel.clean(td.sealevel_obs(s, d)), 8),
+    "gauge_files": lambda s, d: rounded(sealevel.clean(load_gauges(s, td.gauge_folder(s, d))), 8),
+    "precipitation_saved": lambda s, d: rounded(_precipitation_saved(s, d)),
+    "sealevel_saved": lambda s, d: rounded(_sealevel_saved(s, d)),
+    "stream_daily": lambda s, d: rounded(_stream(s, d)),
     "sealevel_monthly_stats": lambda s, d: rounded(sealevel.monthly_stats(sealevel.clean(td.sealevel_obs(s, d)), reference=REF), 4),
     "sealevel_standardize": lambda s, d: rounded(_anomalies(s, d)),
     "sealevel_region": lambda s, d: rounded(sealevel.region_mean(_anomalies(s, d))),
@@ -290,6 +319,10 @@ ORACLE_SQL: dict[str, str] = {
     "union_along_time": _sql("SELECT cell_id, CAST(year(ts) AS INTEGER) AS year, count(*) AS n FROM hourly GROUP BY 1, 2"),
     "gauge_dates": "SELECT CAST(n_nationkey AS INTEGER) AS station_id, t AS text, make_date(CAST(substr(t, 1, 4) AS INTEGER), m, 1) AS month FROM (SELECT n_nationkey, '20' || lpad(CAST((n_nationkey % 12) * 3 AS VARCHAR), 2, '0') || ['.0417', '.1250', '.2083', '', '.5', '.9583', '.875'][n_nationkey % 7 + 1] AS t, [1, 2, 3, 1, NULL, 12, 11][n_nationkey % 7 + 1] AS m FROM nation)",
     "sealevel_clean": _sql(f"SELECT station_id, month, {_r('level', None, 8)} FROM obs"),
+    "gauge_files": _sql(f"SELECT station_id, month, {_r('level', None, 8)} FROM obs"),
+    "precipitation_saved": _sql(f"SELECT cell_id, month, {_r('value', 'precipitation')} FROM rain_z"),
+    "sealevel_saved": _sql(f"SELECT month, {_r('sealevel')} FROM sea_region"),
+    "stream_daily": _sql(f"SELECT cell_id, CAST(ts AS DATE) AS day, {_r('avg(t2m)', 't2m')} FROM hourly WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM hourly) GROUP BY 1, 2"),
     "sealevel_monthly_stats": _sql(f"SELECT moy, {_r('mean', None, 4)}, {_r('sd', None, 4)} FROM gauge_stats"),
     "sealevel_standardize": _sql(f"SELECT station_id, month, {_r('value')} FROM anomalies"),
     "sealevel_region": _sql(f"SELECT month, {_r('sealevel')} FROM sea_region"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +84,28 @@ def unit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ring = F.array(corner(-1.5, -1.0), corner(1.5, -1.0), corner(1.5, 1.0), corner(-1.5, 1.0))
     return stations(spark, sf_dir).select(F.concat(F.lit("U"), (F.col("station_id") % 3).cast("string")).alias("unit"), ring.alias("ring"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that the driver and all executors reach; it goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/climate-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def gauge_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The gauge records as text files, one per station (25 of them, a row per month)."""
+    folder = shared_folder(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files: dict[int, list[str]] = {}
+    for r in sealevel_obs(spark, sf_dir).orderBy("station_id", "month").collect():
+        files.setdefault(r["station_id"], []).append(f" {r['month'].year + (r['month'].month - 0.5) / 12:.4f};{r['level']!r};N;000")
+    for station, lines in files.items():
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{station}.txt"))
+        out.write(bytearray(("\n".join(lines) + "\n").encode()))
+        out.close()
+    return folder
