@@ -5,8 +5,8 @@
 2. A randomised range finder gives the leading right singular vectors of the TF-IDF
    matrix of passages: each task multiplies its rows a by a shared random matrix and sums
    a (a' R); the sum A'A R and a Nystrom step give singular vectors and values.  It is
-   fitted once, on the passages of about ``fit_docs`` documents (by hash of doc_id) and of
-   all items of the benchmark; every passage is projected with it.
+   fitted once, on the passages of all documents and of all items of the benchmark; every
+   passage is projected with it.
 3. Overlapping windows of all documents are projected to the whitened latent space and
    compared with the benchmark's passages by cosine: matrix products in blocks.  The items
    lie in the shared folder in blocks of a bounded number of passages; a task takes one
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import planned_bytes, sampled_rows, shared_dir, slices, stored, sum_vectors, texts_of, vector_blocks, without_ids
+from .common import planned_bytes, shared_dir, slices, stored, sum_vectors, texts_of, vector_blocks, without_ids
 from .token_files import file_system
 
 _WORD = re.compile(r"\w+")
@@ -299,12 +299,40 @@ def _passages(words: np.ndarray) -> list[int]:
     return starts
 
 
-#: Words of a text whose passages are sketched at a time.
-GRAM_WORDS = WINDOW << 10
+#: Words of a text that are taken for one of the fit, and passages sketched at a time (their
+#: numbers and features are sorted as 32 bits).
+GRAM_WORDS, GRAM_PASSAGES = WINDOW << 10, 1 << 15
+#: Rows that ``run_sums`` adds by one product.
+RUN = 32
 
 
-def fit(words: DataFrame, items: DataFrame, *, fit_docs: int) -> Latent:
-    """The latent space of documents (doc_id, words) and of all items (item_id, words)."""
+def run_sums(rows: np.ndarray, order: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[order]`` over consecutive runs of n rows each, one at least.
+
+    Runs are cut into groups of RUN and a rest; groups of the same size are added together,
+    then the sums of the groups of each run.
+    """
+    groups = -(-n // RUN)
+    at = np.arange(int(groups.sum())) - np.repeat(np.cumsum(groups) - groups, groups)
+    first = np.repeat(np.cumsum(n) - n, groups) + at * RUN
+    size = np.minimum(np.repeat(n, groups) - at * RUN, RUN)
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    for r in range(1, RUN + 1):
+        same, ones = np.flatnonzero(size == r), np.ones(r, rows.dtype)
+        for i in range(0, len(same), 64):
+            g = same[i : i + 64]
+            if r < 8:  # too small for a product each
+                part = np.take(rows, order[first[g]], axis=0)
+                for k in range(1, r):
+                    part += np.take(rows, order[first[g] + k], axis=0)
+            else:
+                part = ones @ np.take(rows, order[first[g, None] + np.arange(r)], axis=0)
+            out[g] = part
+    return out if groups.max(initial=1) == 1 else run_sums(out, np.arange(len(out)), groups)
+
+
+def fit(words: DataFrame, items: DataFrame) -> Latent:
+    """The latent space of all documents (doc_id, words) and all items (item_id, words)."""
 
     def frequencies(batches):
         total = np.zeros(FEATURES + 1, np.int64)
@@ -326,34 +354,48 @@ def fit(words: DataFrame, items: DataFrame, *, fit_docs: int) -> Latent:
     idf = (np.log((1 + counts[-1]) / (1 + counts[:FEATURES])) + 0.1).astype(np.float32)
     sketch = np.random.default_rng(SEED).standard_normal((FEATURES, SKETCH)).astype(np.float32)
 
-    def gram(texts) -> np.ndarray:
-        """Sum of a (a' sketch) over unit TF-IDF passages a."""
-        out = np.zeros((FEATURES, SKETCH), np.float64)
-        for w in (t[i : i + GRAM_WORDS] for t in texts for i in range(0, t.size, GRAM_WORDS)):
-            f = _features(w).astype(np.int64)
-            at = np.arange(0, f.size, WINDOW)
-            p = np.arange(f.size) // WINDOW
-            # Repeats of a word in a passage add up in a; its norm is that of the sums.
-            key, back, n = np.unique(p * FEATURES + f, return_inverse=True, return_counts=True)
-            kp, kf = key // FEATURES, key % FEATURES
-            value = n * idf[kf]
-            norm = np.sqrt(np.maximum(np.bincount(kp, value**2, minlength=at.size), 1e-9))
-            value = (value / norm[kp]).astype(np.float32)
-            rows = np.add.reduceat(value[:, None] * sketch[kf], np.searchsorted(kp, np.arange(at.size)), axis=0)
-            order = np.argsort(kf, kind="stable")
-            sorted_f = kf[order]
-            first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
-            out[sorted_f[first]] += np.add.reduceat(value[order, None] * rows[kp[order]], first, axis=0)
-        return out
+    weighted = np.vstack([idf[:, None] * sketch, np.zeros((1, SKETCH), np.float32)])
+
+    def gram(texts: list[np.ndarray], total: np.ndarray) -> None:
+        """Add the sum of a (a' sketch) over unit TF-IDF passages a, short of the left a's idf."""
+        sizes = np.array([t.size for t in texts])
+        passages = -(-sizes // WINDOW)
+        f = np.full(int(passages.sum()) * WINDOW, FEATURES, np.uint16)
+        shift = (np.cumsum(passages) - passages) * WINDOW - (np.cumsum(sizes) - sizes)
+        f[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)] = _features(np.concatenate(texts))
+        # Repeats of a word in a passage add up in a; its norm is that of the sums.
+        keys = np.repeat(np.arange(f.size // WINDOW, dtype=np.uint32) << np.uint32(16), WINDOW) | f
+        keys.sort()
+        once = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n, key = np.diff(np.r_[once, keys.size]), keys[once]
+        square = np.bincount(key >> np.uint32(16), (n * np.append(idf, 0)[key & np.uint32(0xFFFF)]) ** 2)
+        rows = np.empty((f.size // WINDOW, SKETCH), np.float32)
+        ones = np.ones(WINDOW, np.float32)
+        for i in range(0, len(rows), 64):
+            rows[i : i + 64] = ones @ np.take(weighted, f[i * WINDOW : (i + 64) * WINDOW], axis=0).reshape(-1, WINDOW, SKETCH)
+        rows /= square.astype(np.float32)[:, None]
+        counts = np.bincount(f, minlength=FEATURES)[:FEATURES]
+        order = np.argsort(f, kind="stable")[: counts.sum()] // WINDOW
+        have = np.flatnonzero(counts)
+        total[have] += run_sums(rows, order, counts[have])
 
     def sums(batches):
         total = np.zeros((FEATURES, SKETCH))
+        held, n = [], 0
         for batch in slices(batches, "words"):
-            total += gram(np.frombuffer(r, "<u4") for r in batch.column("words").to_pylist())
-        yield vector_blocks(total.astype(np.float32).reshape(-1))
+            for t in (np.frombuffer(raw, "<u4") for raw in batch.column("words").to_pylist()):
+                for i in range(0, t.size, GRAM_WORDS):
+                    held.append(t[i : i + GRAM_WORDS])
+                    n += -(-held[-1].size // WINDOW)
+                    if n >= GRAM_PASSAGES:
+                        gram(held, total)
+                        held, n = [], 0
+        if held:
+            gram(held, total)
+        yield vector_blocks((total * idf[:, None]).astype(np.float32).reshape(-1))
 
-    sample = sampled_rows(words.withColumnRenamed("words", "text"), fit_docs, "fit").select(F.col("text").alias("words"))
-    both = sample.unionByName(items.select("words")).coalesce(16 + planned_bytes(items) // (64 << 20))
+    both = words.select("words").unionByName(items.select("words"))
+    both = both.coalesce(16 + planned_bytes(both) // (64 << 20))  # a task sends FEATURES x SKETCH numbers
     y = sum_vectors(both.mapInArrow(sums, "block int, data binary"), FEATURES * SKETCH, kind="<f4").reshape(FEATURES, SKETCH).astype(np.float64)
     # Nystrom: A'A is about y (R'y)^+ y', with R the sketch.
     core = sketch.T.astype(np.float64) @ y
@@ -497,7 +539,6 @@ def leaks(
     cover: float = 0.7,
     least: float = 0.5,
     answer_cover: float = 0.8,
-    fit_docs: int = 10_000,
     word_index: bool = True,
 ) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, last_word): items found in documents.
@@ -525,7 +566,7 @@ def leaks(
     words = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed("doc_id"), "doc_id long, words binary"), "words")
     listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     items = stored(listed.mapInArrow(hashed("item_id"), "item_id long, words binary").distinct(), "items")
-    latent = fit(words, items, fit_docs=fit_docs)
+    latent = fit(words, items)
     paths = _blocks(items, f"{shared_dir(spark)}-blocks", latent, cover=cover, least=least, answer_cover=answer_cover)
     space = spark.sparkContext.broadcast(latent)  # FEATURES x LATENT numbers
 

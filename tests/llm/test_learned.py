@@ -218,6 +218,47 @@ def test_leaks_do_not_depend_on_blocks_of_items(spark, monkeypatch):
     assert len(near) >= 0.9 * len(want) and near <= {(r["doc_id"], r["item_id"]) for r in want}
 
 
+def test_latent_space_is_fitted_on_the_passages_of_all_documents(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"word{i}" for i in range(40)])
+    chance = 1 / np.arange(1, 41)
+    texts = [" ".join(rng.choice(vocabulary, n, p=chance / chance.sum())) for n in [*rng.integers(1, 60, 20_000), 60_000]]
+    b = [(1, " ".join(vocabulary[:30])), (2, " ".join(vocabulary[20:]))]
+    fitted = []
+    monkeypatch.setattr(decontam, "fit", lambda *a, real=decontam.fit, **how: fitted.append(real(*a, **how)) or fitted[0])
+    d = spark.createDataFrame([*enumerate(texts), (None, None), (30_000, "")], "doc_id long, text string").repartition(3)
+    decontam.leaks(d, spark.createDataFrame(b, "item_id long, text string"), word_index=False)
+    # A'A of unit TF-IDF passages of all texts and items, as it is written.
+    feature = decontam._features(decontam.word_hashes(" ".join(vocabulary))).astype(int)
+    assert len(set(feature.tolist())) == len(vocabulary)
+    place = {w: i for i, w in enumerate(vocabulary.tolist())}
+
+    def passages(texts):
+        words = [[place[w] for w in t.split()] for t in texts]
+        return np.array([np.bincount(w[i : i + decontam.WINDOW], minlength=40) for w in words for i in range(0, len(w), decontam.WINDOW)])
+
+    a = passages(texts)
+    idf = np.log((1 + len(a)) / (1 + (a > 0).sum(0))) + 0.1
+    assert np.allclose(fitted[0].idf[feature], idf, atol=1e-5)
+    a = np.vstack([a, passages(t for _, t in b)]) * idf
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    want = np.linalg.inv(a.T @ a) * idf * idf[:, None]
+    basis = fitted[0].basis[feature].astype(float)
+    got = basis @ basis.T
+    assert np.abs(got / np.linalg.norm(got) - want / np.linalg.norm(want)).max() < 1e-4
+    assert np.abs(np.delete(fitted[0].basis, feature, axis=0)).max() < 1e-6
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(4)
+    n = np.array([1, 7, 8, 31, 32, 33, 64, 1023, 1024, 1025, 5000, 2, 1])
+    rows = rng.standard_normal((500, 3)).astype(np.float32)
+    order = rng.integers(0, 500, n.sum())
+    got = decontam.run_sums(rows, order, n)
+    assert np.allclose(got, [rows[o].sum(0) for o in np.split(order, np.cumsum(n)[:-1])], atol=1e-3)
+    assert decontam.run_sums(rows, order[:0], n[:0]).shape == (0, 3)
+
+
 def test_leaks_of_empty_tables(spark):
     d = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "some other words and more of them")], "item_id long, text string")
