@@ -4,7 +4,7 @@ Three scans of the text, none of which shuffles a line:
 
 1. Every task hashes the distinct line keys of its documents and sends, per
    filter shard, the positions set by keys seen once and by keys seen twice.
-   The shards are merged by streaming: a bit is *twice* when either side has it
+   The shards are merged in whatever order their parts come: a bit is *twice* when either side has it
    so, or when both sides have it *once*.  With the positions of a hash in one
    shard, a key of two documents always has all its bits in the twice filter:
    there are false positives, never false negatives.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, free_name, partitions, plain_names, planned_bytes, slices, stored, texts_of, with_column
+from .common import col, free_name, lean, partitions, plain_names, planned_bytes, slices, stored, texts_of, with_column
 
 SHARDS = 256
 #: Suspected keys that a task sums before it sends them on.
@@ -80,6 +80,25 @@ def _bits(block: bytes, shard_bits: int) -> np.ndarray:
     return out
 
 
+def _add(block: bytes, to: np.ndarray, meet: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+    """Set the block's bits in the packed bits ``to``; those it has in common with ``meet[0]`` in ``meet[1]``."""
+    if block[:1] == b"b":
+        new = np.frombuffer(block, np.uint8, offset=1)
+        if meet:
+            np.bitwise_or(meet[1], meet[0] & new, out=meet[1])
+        np.bitwise_or(to, new, out=to)
+        return
+    at = np.frombuffer(block, "<u4", offset=1)
+    byte, bit = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+    if meet:
+        np.bitwise_or.at(meet[1], byte, meet[0][byte] & bit)
+    np.bitwise_or.at(to, byte, bit)
+
+
+#: Bytes of merged shards that a task holds, about.
+MERGED_BYTES = 32 << 20
+
+
 def twice_filter(docs: DataFrame, min_chars: int, filter_bits: int) -> bytes:
     """Bits of the twice-seen filter: SHARDS equal blocks, one after the other."""
     spark = docs.sparkSession
@@ -104,28 +123,25 @@ def twice_filter(docs: DataFrame, min_chars: int, filter_bits: int) -> bytes:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["shard", "once", "twice"])
 
-    def merge(batches):
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], ["shard", "twice"])
+    size = (1 << shard_bits) // 8
 
-        now, once, twice = None, None, None
+    def merge(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for s, o, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if s != now:
-                    if now is not None:
-                        yield row()
-                    now, once, twice = s, np.zeros(1 << shard_bits, bool), np.zeros(1 << shard_bits, bool)
-                new = _bits(o, shard_bits)
-                twice |= _bits(t, shard_bits) | (once & new)
-                once |= new
-        if now is not None:
-            yield row()
-
-    blocks = docs.select("text").mapInArrow(build, "shard int, once binary, twice binary")
-    n = min(SHARDS, partitions(spark))
-    merged = blocks.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, twice binary")
-    out = bytearray((SHARDS << shard_bits) // 8)
-    size = (1 << shard_bits) // 8
+            for s, o, t in zip(*(batch.column(i) for i in range(3))):
+                if (k := s.as_py()) not in held:
+                    held[k] = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+                once, twice = held[k]
+                _add(t.as_py(), twice)
+                _add(o.as_py(), once, (once, twice))
+        for k in sorted(held):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([held.pop(k)[1].tobytes()], pa.binary())], ["shard", "twice"])
+
+    blocks = docs.select("text").mapInArrow(lean(build), "shard int, once binary, twice binary")
+    # A task holds its shards, once and twice: unsorted, for a sort takes a page of the heap in each task.
+    n = min(SHARDS, max(partitions(spark), -(-SHARDS * 2 * size // MERGED_BYTES)))
+    merged = blocks.repartition(n, "shard").mapInArrow(lean(merge), "shard int, twice binary")
+    out = bytearray(SHARDS * size)
     for r in merged.collect():  # at most SHARDS rows of a fixed size
         out[r["shard"] * size : (r["shard"] + 1) * size] = r["twice"]
     return bytes(out)
@@ -189,7 +205,7 @@ def repeated_keys(docs: DataFrame, *, min_docs: int, min_chars: int = 1, filter_
                 seen = {}
         yield from sent(seen)
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(suspects, "digest binary, n_docs long, first_doc long")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(suspects), "digest binary, n_docs long, first_doc long")
     return (
         found.groupBy("digest")
         .agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"))
@@ -259,7 +275,7 @@ def dedup_lines(
             for batch in slices(batches):
                 yield result(batch, lambda i: gone)
 
-        return named(docs.mapInArrow(apply, schema))
+        return named(docs.mapInArrow(lean(apply), schema))
 
     # Names of helper columns that no column of ``docs`` has.
     doc_name, gone_name = free_name(columns, "__doc"), free_name(columns, "__gone")
@@ -278,7 +294,7 @@ def dedup_lines(
             lists = batch.column(gone_name).to_pylist()
             yield result(batch, lambda i: {bytes(x["digest"]): x["first_doc"] for x in lists[i] or ()})
 
-    in_doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(digests, "doc_id long, digest binary")
+    in_doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(digests), "doc_id long, digest binary")
     per_doc = in_doc.join(keys, "digest").groupBy(F.col("doc_id").alias(doc_name)).agg(F.collect_set(F.struct("digest", "first_doc")).alias(gone_name))
     joined = docs.join(per_doc, col("doc_id").eqNullSafe(col(doc_name)), "left").select(*map(col, columns), gone_name)
-    return named(joined.mapInArrow(apply_joined, schema))
+    return named(joined.mapInArrow(lean(apply_joined), schema))

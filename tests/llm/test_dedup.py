@@ -1,6 +1,9 @@
+import os
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from climadex.llm.components import connected_components
 
 from . import brute
 
+#: MB that a worker may keep after a task, with its modules.
+KEPT_MB = 95
+
 KEY = lambda r: tuple((x is None, x) for x in r)
 
 
@@ -60,6 +66,61 @@ def test_twice_filter_has_no_false_negative(spark):
     assert {r["n_docs"] for r in keys.collect()} == {2}
 
 
+def _kept_mb(spark, name, run):
+    """Most memory that a Python worker of its own environment keeps after ``run``."""
+    env = spark.sparkContext.environment
+    env["CLIMADEX_TEST"] = name
+
+    def kept(batches):
+        for batch in batches:
+            time.sleep(1)  # so that all workers take part
+            with open("/proc/self/status") as f:
+                kb = next(int(x.split()[1]) for x in f if x.startswith("RssAnon"))
+            yield pa.RecordBatch.from_arrays([pa.array([kb], pa.int64())], ["kb"])
+
+    try:
+        run()
+        return max(r["kb"] for r in spark.range(4, numPartitions=4).mapInArrow(kept, "kb long").collect()) / 1024
+    finally:
+        del env["CLIMADEX_TEST"]
+
+
+def _long_table(spark):
+    """About 40 MB of text, in one partition."""
+    line = F.concat(F.lit("line "), F.col("id"), F.lit(" of some words and a number "), F.col("x"))
+    rows = spark.range(0, 12000, 1, 1).withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(80)))).select("id", line.alias("line"))
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(F.array_join(F.collect_list("line"), "\n").alias("text")).coalesce(1)
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads /proc")
+def test_workers_of_line_dedup_keep_no_memory(spark):
+    docs = _long_table(spark)
+    run = lambda: line_dedup.dedup_lines(docs, min_docs=2).write.format("noop").mode("overwrite").save()
+    assert _kept_mb(spark, "line_dedup", run) < KEPT_MB
+
+
+def test_shards_are_merged_in_any_order():
+    rng = np.random.default_rng(3)
+    once, twice, seen = np.zeros(64, np.uint8), np.zeros(64, np.uint8), np.zeros(512, int)
+    for k in (3, 200, 10, 16, 400, 5):
+        a = rng.choice(512, k, replace=False)
+        block = line_dedup._block(a, 9)
+        line_dedup._add(line_dedup._block(a[: k // 4], 9), twice)
+        line_dedup._add(block, once, (once, twice))
+        seen[a] += 1
+        seen[a[: k // 4]] += 1
+    assert (np.unpackbits(twice) == (seen > 1)).all() and (np.unpackbits(once) == (seen > 0)).all()
+
+
+def test_merging_shards_takes_no_sort(spark, monkeypatch):
+    docs = brute.frame(spark, brute.rows())
+    plans = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    line_dedup.twice_filter(docs, 1, line_dedup.LEAST_BITS)
+    assert len(plans) == 1 and "Sort" not in plans[0]
+
+
 def test_simhash_matches_brute_force(spark):
     data = brute.rows()
     got = simhash.near_duplicates(brute.frame(spark, data)).collect()
