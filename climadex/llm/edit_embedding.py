@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, bucket_of, doc_buckets, hash_below, partitions, ranges, scratch, slices, stored, texts_of, with_column
+from .common import SLICE_BYTES, bucket_of, doc_buckets, hash_below, lean, partitions, ranges, scratch, slices, stored, texts_of, with_column
 from .components import connected_components
 
 SAMPLES = 256
@@ -25,7 +25,7 @@ PERIOD = 4096
 END = 255  # class of the position after a text
 SEED = 7
 #: Text walked at a time; the number of steps is that of its longest document.
-WALK_BYTES = 16 << 20
+WALK_BYTES = 8 << 20
 #: Classes of a band bucket that one task compares; larger buckets are dealt over many tasks.
 LARGE = 8192
 #: Bands of a fingerprint, samples that make a band's key, further ones beside it (4 bits each,
@@ -139,7 +139,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             scales, samples = embed(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([to_text(int(s), x) for s, x in zip(scales, samples)])], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, fingerprint string")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -158,7 +158,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             texts = [None if t is None else pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield with_column(batch, "text", pa.array(texts, pa.binary()))
 
-    return rows.select(*[c for c in rows.columns if c != "text"], "text").mapInArrow(run, f"{fields}, text binary")
+    return rows.select(*[c for c in rows.columns if c != "text"], "text").mapInArrow(lean(run), f"{fields}, text binary")
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _unpacked(rows: DataFrame) -> DataFrame:
                     yield with_column(batch.slice(start, len(texts)), "text", pa.array(texts, pa.binary()).cast(pa.string()))
                     start, texts, size = i + 1, [], 0
 
-    return rows.select(*[c for c in rows.columns if c != "text"], "text").mapInArrow(run, f"{fields}, text string")
+    return rows.select(*[c for c in rows.columns if c != "text"], "text").mapInArrow(lean(run), f"{fields}, text string")
 
 
 def edited_fingerprints(docs: DataFrame, *, least: float | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def edited_fingerprints(docs: DataFrame, *, least: float | None = None) -> DataF
 
     schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
     there = _unpacked(dealt.repartitionById(len(bounds) + 1, F.col("b")))
-    return there.sortWithinPartitions("guard", "ord", F.col("text").asc_nulls_first()).select("doc_id", "text", "guard", "component").mapInArrow(run, schema)
+    return there.sortWithinPartitions("guard", "ord", F.col("text").asc_nulls_first()).select("doc_id", "text", "guard", "component").mapInArrow(lean(run), schema)
 
 
 def _from_raw(raw: bytes) -> tuple[int, np.ndarray]:
@@ -290,7 +290,7 @@ def _keys(classes: DataFrame, least: float, bands: int, width: int) -> DataFrame
                 at = np.unique(s)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([int(n[s == k].min()) for k in at])], ["scale", "n"])
 
-    full = {r["scale"]: r["n"] for r in classes.select("raw").mapInArrow(fullness, "scale long, n long").groupBy("scale").agg(F.min("n").alias("n")).collect()}  # a row per scale
+    full = {r["scale"]: r["n"] for r in classes.select("raw").mapInArrow(lean(fullness), "scale long, n long").groupBy("scale").agg(F.min("n").alias("n")).collect()}  # a row per scale
 
     def run(batches):
         for whole in batches:
@@ -317,7 +317,7 @@ def _keys(classes: DataFrame, least: float, bands: int, width: int) -> DataFrame
                         sketch = sketch << np.uint64(4) | got[:, :, width + w]
                     yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(cid[rows], bands)), pa.array(sketch.reshape(-1).view(np.int64))], ["key", "cid", "sketch"])
 
-    return classes.select("raw", "cid").mapInArrow(run, "key long, cid long, sketch long")
+    return classes.select("raw", "cid").mapInArrow(lean(run), "key long, cid long, sketch long")
 
 
 def _dealt(rows: DataFrame, large: int) -> DataFrame:
@@ -422,9 +422,9 @@ def _components(docs: DataFrame, least: float, bands: int, width: int, large: in
 
     n, group = partitions(docs.sparkSession), ["key", "i", "j"]
     rows = _dealt(_keys(classes, least, bands, width), large).repartition(n, *group).sortWithinPartitions(*group)
-    suspects = rows.mapInArrow(_suspects, "key long, i int, j int, cid long")
+    suspects = rows.mapInArrow(lean(_suspects), "key long, i int, j int, cid long")
     whole = suspects.join(classes.select("cid", "rep", "raw"), "cid")
-    found = whole.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(links, "a long, b long").distinct()
+    found = whole.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(lean(links), "a long, b long").distinct()
     # A doc_id on rows of different texts links their classes.
     own = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     twice = known.join(own, "doc_id").join(classes, ["cid", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

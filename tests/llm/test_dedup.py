@@ -99,6 +99,13 @@ def test_workers_of_line_dedup_keep_no_memory(spark):
     assert _kept_mb(spark, "line_dedup", run) < KEPT_MB
 
 
+@pytest.mark.skipif(not os.path.exists("/proc/self/status"), reason="reads /proc")
+def test_workers_of_edited_fingerprints_keep_no_memory(spark):
+    docs = _long_table(spark)
+    run = lambda: edit_embedding.edited_fingerprints(docs).write.format("noop").mode("overwrite").save()
+    assert _kept_mb(spark, "edit_embedding", run) < KEPT_MB
+
+
 def test_shards_are_merged_in_any_order():
     rng = np.random.default_rng(3)
     once, twice, seen = np.zeros(64, np.uint8), np.zeros(64, np.uint8), np.zeros(512, int)
